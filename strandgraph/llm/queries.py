@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm import bpe, chat, langid, packing, rules, simhash, toxicity
+from strandgraph.llm import bpe, chat, langid, linededup, packing, rules, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+    out = linededup.dedup_lines(docs, runs_as="runs")
+    gone = F.aggregate(F.coalesce("runs", F.array().cast("array<struct<b:int,e:int>>")), F.lit(0).cast("long"), lambda n, r: n + r["e"] - r["b"] + 1)
+    return out.select("doc_id", "n_lines", gone.alias("n_deleted"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", *rules.COUNTS, "base_failed", "kept", "score")
@@ -51,4 +58,39 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_linededup": _OP5}
+
+
+#: Every run of lines is compared by its text, without ranks.
+_OP5 = r"""
+WITH raw AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+  FROM documents
+), seq AS (
+  SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM raw
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), cum AS (
+  SELECT *, row_number() OVER o AS p, sum(w) OVER o AS after FROM seq WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), often AS (
+  SELECT line FROM seq GROUP BY line HAVING count(*) > 1
+), act AS (
+  SELECT * FROM cum WHERE line IN (SELECT line FROM often)
+), fwd AS (
+  SELECT a.doc_id, a.p AS s, min(b.p) AS l FROM act a JOIN cum b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.after - a.after + a.w >= 50
+  GROUP BY a.doc_id, a.p
+), bwd AS (
+  SELECT b.doc_id, max(a.p) AS s, b.p AS l FROM act b JOIN cum a ON a.doc_id = b.doc_id AND a.p <= b.p AND b.after - a.after + a.w >= 50
+  GROUP BY b.doc_id, b.p
+), win AS (SELECT * FROM fwd UNION SELECT * FROM bwd), said AS (
+  SELECT win.doc_id, s, l, string_agg(line, chr(10) ORDER BY p) AS body, min(i) AS b, max(i) AS e
+  FROM win JOIN cum ON cum.doc_id = win.doc_id AND p BETWEEN s AND l GROUP BY win.doc_id, s, l
+), later AS (
+  SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS k FROM said
+), gone AS (
+  SELECT DISTINCT raw.doc_id, raw.i FROM raw JOIN later ON raw.doc_id = later.doc_id AND i BETWEEN b AND e WHERE k > 1
+)
+SELECT raw.doc_id, count(*) AS n_lines, count(gone.i) AS n_deleted,
+       CASE WHEN raw.doc_id IS NULL THEN NULL ELSE sha256(coalesce(string_agg(line, chr(10) ORDER BY raw.i) FILTER (gone.i IS NULL), '')) END AS kept_sha256
+FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.i = gone.i
+GROUP BY raw.doc_id
+"""

@@ -98,6 +98,8 @@ def restore(word: str, model: CharModel) -> list[str]:
     plain = word.strip(_EDGE + "!|*+")
     out = [plain] if plain else []
     rough = word.strip(_EDGE)
+    if plain and not plain.isalnum() and (joined := "".join([c for c in plain if c.isalnum()])):
+        out.append(joined)
     if rough and len(rough) <= 40 and _DISGUISED.search(rough):
         for form in {rough, plain}:
             slots = lattice(form)
@@ -116,7 +118,8 @@ def spelled(text: str, model: CharModel) -> list[str]:
             slots = [list(STANDS_FOR.get(c, c)) if not c.isalpha() else [c] for c in part]
             slots = [slots[0]] + [[*s, *[" " + x for x in s]] for s in slots[1:]] if slots else []
             if slots:
-                out += ["".join(part), *model.decode(slots).split()]
+                whole = "".join(part)
+                out += [*[whole[k:] for k in range(len(whole) - 3)], *model.decode(slots).split()]
     return out
 
 
@@ -191,7 +194,7 @@ class Model:
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A ridge logistic regression by Newton steps."""
     a = np.column_stack([np.ones(len(x)), x])
-    beta, ridge = np.zeros(a.shape[1]), np.diag([1e-6, 1e-2, 1e-2])
+    beta, ridge = np.zeros(a.shape[1]), np.diag([1e-6, 1.0, 1.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (y - p) - ridge @ beta)
