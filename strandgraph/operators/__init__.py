@@ -1 +1 @@
-"""Part of the engine; see the modules."""
+"""Relational operators on graphs, vectors and retrieval records."""

@@ -1 +1 @@
-"""Part of the engine; see the modules."""
+"""The test graph and the registered queries."""
