@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
@@ -47,3 +48,57 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
         v = table.column(k).to_numpy()
         diff[1:] |= v[1:] != v[:-1]
     return np.flatnonzero(diff)
+
+
+def text_blocks(texts: pa.Array, chars: int = 4_000_000) -> Iterator[pa.StringArray]:
+    """Consecutive slices of about ``chars`` bytes of text; nulls become empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        base = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, base + chars, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Texts split at single spaces: where each text's parts begin (and the last end), a code per part, the different parts."""
+    lists = pc.split_pattern(texts, " ")
+    offsets = lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    return offsets - offsets[0], coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+
+def gather(pieces: list[bytes], codes: np.ndarray, offsets: np.ndarray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """The concatenated ``pieces[code]`` as items of ``dtype``, and where each text's items begin (and the last end)."""
+    size = np.dtype(dtype).itemsize
+    lens = np.fromiter(map(len, pieces), np.int64, len(pieces)) // size
+    flat = np.frombuffer(b"".join(pieces), dtype)
+    n = lens[codes]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    at = np.repeat((np.cumsum(lens) - lens)[codes] - ends[:-1], n)
+    at += np.arange(len(at))
+    return flat[at], ends[offsets]
+
+
+class Recent:
+    """A cache in two halves: a full new half replaces the old one, entries asked for move on."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def turn(self, limit: int) -> None:
+        """Between batches: start a new half once this one is full."""
+        if len(self.new) > limit:
+            self.old, self.new = self.new, {}
+
+    def known(self, key: str | bytes) -> bool:
+        """Whether the key is in the new half, by now."""
+        if key in self.new:
+            return True
+        if (got := self.old.get(key)) is not None:
+            self.new[key] = got
+            return True
+        return False

@@ -3,8 +3,8 @@
 A partition's distinct words become token-position rows that join the merge
 table; each step contracts every word's leftmost pair of minimum rank, until no
 word has a pair left; an ordered aggregation gives ids and decoded bytes.  The
-results are kept per worker (at most ``CACHE`` entries, then forgotten), so that
-a word is contracted once for many documents.
+results are kept per worker (the latest ``CACHE`` to ``2 * CACHE``), so that a
+word is contracted once for many documents.
 
 Defined results: null and empty texts have no tokens and decode to nothing;
 every row gives one row, in place; other columns are not looked at.
@@ -20,11 +20,14 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's cache of text units, and of words per recursive query.
+from strandgraph.llm.arrowutil import Recent, gather, split_words, text_blocks
+
+#: Entries of each of the two halves of a worker's caches, and words per recursive query.
 CACHE, QUERY_WORDS = 300_000, 50_000
 #: Longer words are contracted with a heap: one recursion step per merge would take quadratic time.
 LONG_WORD = 256
@@ -65,44 +68,45 @@ class Encoder:
             self.con.register("given", table)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.units: dict[str, tuple[bytes, bytes]] = {}
-
-    def split(self, text: str) -> list[str]:
-        """Parts that the pattern never matches across: a lone space starts a part, else the whole text is one."""
-        if self.wide.search(text):
-            return self.pattern.findall(text)
-        head, *rest = text.split(" ")
-        return ([head] if head else []) + [" " + x for x in rest]
-
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Of each text, the ids as little-endian unsigned 32-bit numbers, and the bytes they decode to."""
-        parts = [self.split(t) for t in texts]
-        if len(self.units) > CACHE:
-            self.units.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = {u for p in parts for u in p if u not in self.units}
-        cut = {u: [w.encode("utf-8", "surrogatepass") for w in self.pattern.findall(u)] for u in new}
-        self._learn({w for ws in cut.values() for w in ws if w not in self.words})
+        self.words, self.units = Recent(), Recent()
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts' ids and where each text's begin (and the last end), and the same of the bytes they decode to.
+
+        The pattern never matches across the start of a lone space, so texts
+        without neighbouring white space are split there; the others are
+        matched as a whole.
+        """
+        whole = {i: t for i, t in enumerate(texts.to_pylist()) if self.wide.search(t)}
+        if whole:
+            texts = pc.if_else(pa.array([i in whole for i in range(len(texts))]), pa.scalar("", texts.type), texts)
+        offsets, codes, parts = split_words(texts)
+        for cache in (self.units, self.words):
+            cache.turn(CACHE)
+        first = [whole.get(i, parts[c]) for i, c in enumerate(codes[offsets[:-1]].tolist())]
+        codes[offsets[:-1]] = np.arange(len(parts), len(parts) + len(first))
+        pieces = self._pieces([" " + p for p in parts] + first)
+        ids, id_at = gather([p[0] for p in pieces], codes, offsets, np.uint32)
+        decoded, at = gather([p[1] for p in pieces], codes, offsets, np.uint8)
+        return ids, id_at, decoded, at
+
+    def _pieces(self, units: list[str]) -> list[tuple[bytes, bytes]]:
+        cut = {u: [w.encode("utf-8", "surrogatepass") for w in self.pattern.findall(u)] for u in units if not self.units.known(u)}
+        self._learn({w for ws in cut.values() for w in ws if not self.words.known(w)})
+        held, words = self.units.new, self.words.new
         for u, ws in cut.items():
-            got = [self.words[w] for w in ws]
-            self.units[u] = (b"".join([g[0] for g in got]), b"".join([g[1] for g in got]))
-        units = self.units
-        out = []
-        for p in parts:
-            got = [units[u] for u in p]
-            out.append((b"".join([g[0] for g in got]), b"".join([g[1] for g in got])))
-        return out
+            got = [words[w] for w in ws]
+            held[u] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), b"".join([g[1] for g in got]))
+        return [held[u] for u in units]
 
     def _learn(self, words: set[bytes]) -> None:
         rest = []
         for w in words:
             if (r := self.ranks.get(w)) is not None:
-                self.words[w] = (np.uint32(r).tobytes(), self.token[r])
+                self.words.new[w] = (np.uint32(r).tobytes(), self.token[r])
             elif len(w) > LONG_WORD:
                 ids = self._contract(w)
-                self.words[w] = (np.array(ids, np.uint32).tobytes(), b"".join([self.token[i] for i in ids]))
+                self.words.new[w] = (np.array(ids, np.uint32).tobytes(), b"".join([self.token[i] for i in ids]))
             else:
                 rest.append(w)
         for i in range(0, len(rest), QUERY_WORDS):
@@ -114,7 +118,7 @@ class Encoder:
         p = (np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
         self.con.register("tok", pa.table({"w": w, "p": p, "id": self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]}))
         for i, ids, text in self.con.execute(_STEP).fetchall():
-            self.words[words[i]] = (np.array(ids, np.uint32).tobytes(), bytes.fromhex(text))
+            self.words.new[words[i]] = (np.array(ids, np.uint32).tobytes(), bytes.fromhex(text))
         self.con.unregister("tok")
 
     def _contract(self, word: bytes) -> list[int]:
@@ -153,17 +157,10 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def _blocks(texts: pa.Array, size: int = 4_000_000) -> Iterator[list[str]]:
-    held, n = [], 0
-    for t in texts:
-        x = t.as_py() or ""
-        held.append(x)
-        n += len(x)
-        if n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def _rows(enc: Encoder, texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+    ids, id_at, decoded, at = enc.encode_batch(texts)
+    for i in range(len(texts)):
+        yield ids[id_at[i] : id_at[i + 1]].tobytes(), decoded[at[i] : at[i + 1]].tobytes()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,9 +170,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         enc = encoder(path, pattern)
         for b in batches:
             at = 0
-            for texts in _blocks(b.column(1)):
-                got = enc.encode_batch(texts)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], [id_col, "ids", "decoded"])
+            for texts in text_blocks(b.column(1)):
+                got = [pa.array(x, pa.binary()) for x in zip(*_rows(enc, texts), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *got], [id_col, "ids", "decoded"])
                 at += len(texts)
 
     src = docs.select(F.col(id_col), F.col(text_col).cast("string"))
@@ -195,8 +192,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         enc = encoder(path, pattern)
         for b in batches:
             n, a, d = [], [], []
-            for texts in _blocks(b.column(1)):
-                for ids, text in enc.encode_batch(texts):
+            for texts in text_blocks(b.column(1)):
+                for ids, text in _rows(enc, texts):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
                     d.append(hashlib.sha256(text).hexdigest())
