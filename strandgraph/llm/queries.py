@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm import bpe, chat, langid, linededup, packing, rules, simhash, toxicity
+from strandgraph.llm import bpe, chat, embedding, langid, linededup, ordinal, packing, rules, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", gone.alias("n_deleted"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op6_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", *rules.COUNTS, "base_failed", "kept", "score")
@@ -53,6 +57,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.grade(_table(spark, sf_dir, "documents"), ordinal.grades_of_labels(_table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
