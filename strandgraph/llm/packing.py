@@ -15,20 +15,24 @@ empty result.
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from strandgraph.llm.arrowutil import Recent, gather, split_words, text_blocks
 from strandgraph.storage import Scratch
 
-#: Words that a worker keeps with their ids.
-CACHE = 400_000
+#: Entries of each of the two halves of a worker's caches.
+CACHE = 250_000
 #: Pieces that one task of the later rounds packs, and the number of tasks of the last round.
 POOL, LAST = 4_000, 8
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -36,33 +40,41 @@ _FIELDS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 class WordTokenizer:
-    """A tokenizer whose pre-tokenizer drops white space: each word's ids are looked up once."""
-
-    #: Put between words; its id marks where one ends.
-    MARK = "<|endoftext|>"
+    """A tokenizer whose pre-tokenizer drops white space and splits words by a pattern: each word's ids are looked up once."""
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
-        self.mark = self.tok.token_to_id(self.MARK)
-        self.words: dict[str, bytes] = {}
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers, without special tokens added."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        words = self.words
-        new = list({w for p in parts for w in p if w not in words})
-        plain = [w for w in new if "<" not in w]
-        for i in range(0, len(plain), 2000):
-            block = plain[i : i + 2000]
-            ids = np.array(self.tok.encode(self.MARK.join(block), add_special_tokens=False).ids, np.uint32)
-            for w, x in zip(block, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True):
-                words[w] = x[1:].tobytes() if len(x) and x[0] == self.mark else x.tobytes()
-        for w in new:
-            if "<" in w:  # may hold the mark itself
-                words[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
-        return [b"".join([words[w] for w in p]) for p in parts]
+        self.model = self.tok.model
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
+        #: Words of these characters only are their own normal form but for case; in others the library does all.
+        self.simple = regex.compile(r"[\x21-\x3B\x3D-\x7E\xA1-\u012F\u0131-\u017F]*")
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.bytes = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        self.words, self.tokens = Recent(), Recent()
+
+    def _word(self, word: str) -> bytes:
+        if not self.simple.fullmatch(word):
+            return np.array(self.tok.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        out = []
+        for token in self.pattern.findall(word.lower()):
+            if not self.tokens.known(token):
+                ids = [t.id for t in self.model.tokenize(token.encode().decode("latin-1").translate(self.bytes))]
+                self.tokens.new[token] = np.array(ids, np.uint32).tobytes()
+            out.append(self.tokens.new[token])
+        return b"".join(out)
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, without special tokens added, and where each text's begin (and the last end)."""
+        offsets, codes, parts = split_words(pc.replace_substring(texts, "\n", " "))
+        self.words.turn(CACHE)
+        self.tokens.turn(CACHE)
+        for w in parts:
+            if not self.words.known(w):
+                self.words.new[w] = self._word(w)
+        words = self.words.new
+        return gather([words[w] for w in parts], codes, offsets, np.uint32)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -115,15 +127,16 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> Dat
         part = 0
         for b in batches:
             part = b.column(2)[0].as_py() if b.num_rows else part
-            for at in range(0, b.num_rows, 256):
-                rows = b.slice(at, 256)
-                ids = tok.encode_batch([t or "" for t in rows.column(1).to_pylist()])
-                for doc, x in zip(rows.column(0).to_pylist(), ids, strict=True):
-                    x += end
+            docs_at = 0
+            for texts in text_blocks(b.column(1)):
+                ids, at = tok.encode_batch(texts)
+                for i, doc in enumerate(b.column(0).slice(docs_at, len(texts)).to_pylist()):
+                    x = ids[at[i] : at[i + 1]].tobytes() + end
                     for k in range(0, len(x), 4 * size):
                         y = x[k : k + 4 * size]
                         for c, v in zip(cols, (doc, k // (4 * size), k // 4, len(y) // 4, zlib.crc32(y)), strict=True):
                             c.append(v)
+                docs_at += len(texts)
         if cols[0]:
             yield _packed([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], part, size)
 
