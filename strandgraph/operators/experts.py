@@ -40,7 +40,7 @@ def seed_centroids(vectors: DataFrame, k: int = CLUSTERS, seed: int = 0) -> np.n
                     continue
                 cos = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
                 w = ((1 - cos) ** 2).min(axis=1)
-                u = ((b.column("h").to_numpy() ^ (seed * 7919 + r)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFF) / 2**32 + 1e-12
+                u = ((b.column("h").to_numpy().astype(np.uint64) ^ np.uint64(seed * 7919 + r)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.float64) / 2**32 + 1e-12
                 key = np.where(w > 1e-12, -np.log(u) / np.maximum(w, 1e-12), np.inf)
                 i = int(np.argmin(key))
                 yield pa.RecordBatch.from_arrays([pa.array([float(key[i])]), pa.array([x[i].tolist()])], ["key", "embedding"])
