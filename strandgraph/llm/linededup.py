@@ -126,7 +126,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, runs_as: str | None
     cols = docs.columns
     src = docs.withColumn("text", F.col("text").cast("string"))
     found = Scratch(docs.sparkSession).write(repeated_runs(src.select("doc_id", "text"), min_words).select(F.col("d").alias("__d"), F.col("th").alias("__th"), F.col("runs").alias("__runs")))
-    out = src.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__th")), "left")
+    # always a merge join: the table of runs grows with the corpus
+    out = src.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__th")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("__runs", lambda r: (i >= r["b"]) & (i <= r["e"])))
     out = out.withColumn("text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in cols:
