@@ -15,7 +15,7 @@ runs of ``min_words`` words or more, without their first copies.
 All is DataFrame operations; line numbers count from 0.
 
 Defined results: null texts stay null and empty ones empty; lines without a word
-belong to no run, but go with a run that they lie in; a document all of whose
+belong to no run, but go where the lines with words on both sides of them go; a document all of whose
 lines are deleted stays, with an empty text; rows with the same ``doc_id`` and
 text are one document and get the same edit; documents of equal ``doc_id`` are
 ordered by the hash of their text, null ids first; other columns stay as they

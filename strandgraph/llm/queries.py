@@ -90,15 +90,21 @@ WITH raw AS (
   SELECT b.doc_id, max(a.p) AS s, b.p AS l FROM act b JOIN cum a ON a.doc_id = b.doc_id AND a.p <= b.p AND b.after - a.after + a.w >= 50
   GROUP BY b.doc_id, b.p
 ), win AS (SELECT * FROM fwd UNION SELECT * FROM bwd), said AS (
-  SELECT win.doc_id, s, l, string_agg(line, chr(10) ORDER BY p) AS body, min(i) AS b, max(i) AS e
+  SELECT win.doc_id, s, l, string_agg(line, chr(10) ORDER BY p) AS body
   FROM win JOIN cum ON cum.doc_id = win.doc_id AND p BETWEEN s AND l GROUP BY win.doc_id, s, l
 ), later AS (
   SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS k FROM said
 ), gone AS (
-  SELECT DISTINCT raw.doc_id, raw.i FROM raw JOIN later ON raw.doc_id = later.doc_id AND i BETWEEN b AND e WHERE k > 1
+  SELECT DISTINCT cum.doc_id, p FROM cum JOIN later ON cum.doc_id = later.doc_id AND p BETWEEN s AND l WHERE k > 1
+), marks AS (
+  SELECT raw.doc_id, raw.i, raw.line, CASE WHEN cum.p IS NOT NULL THEN gone.p IS NOT NULL END AS g
+  FROM raw LEFT JOIN cum ON raw.doc_id = cum.doc_id AND raw.i = cum.i LEFT JOIN gone ON cum.doc_id = gone.doc_id AND cum.p = gone.p
+), fin AS (
+  SELECT doc_id, i, line, coalesce(g, last_value(g IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    AND first_value(g IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), false) AS x
+  FROM marks
 )
-SELECT raw.doc_id, count(*) AS n_lines, count(gone.i) AS n_deleted,
-       CASE WHEN raw.doc_id IS NULL THEN NULL ELSE sha256(coalesce(string_agg(line, chr(10) ORDER BY raw.i) FILTER (gone.i IS NULL), '')) END AS kept_sha256
-FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.i = gone.i
-GROUP BY raw.doc_id
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (x) AS n_deleted,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT x), '')) AS kept_sha256
+FROM fin GROUP BY doc_id
 """
