@@ -14,6 +14,7 @@ import yaml
 class Construction:
     """How documents become a graph."""
 
+    #: Fixed value: datasets whose documents are title and text.
     whole_documents: tuple[str, ...] = ("hotpot", "2wiki", "musique", "demo")
     batch_size: int = 100
     batched: bool = False

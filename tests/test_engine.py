@@ -142,3 +142,19 @@ def test_batches_are_not_done_twice(spark, tmp_path):
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from strandgraph import __main__ as cli
+
+    (tmp_path / "corpus.json").write_text(json.dumps([{"title": "T", "text": "Ann met Bob"}]))
+    (tmp_path / "qa.json").write_text(json.dumps([{"question": "Who met Bob?", "answer": "Ann"}]))
+    c = config.EngineConfig().override({"output": f"file://{tmp_path}/out", "grouping": {"clusters": 1, "rounds": 1, "least_members": 1}, "datasets": {"demo": {"corpus": f"file://{tmp_path}/corpus.json", "questions": f"file://{tmp_path}/qa.json"}}})
+    config.save_config(c, tmp_path / "c.yaml")
+    model = CannedModel((("Who met", "So the answer is: Ann"), ("Ann", _record(("Ann", "met", "Bob")))), "0")
+    monkeypatch.setattr(cli, "_hook", lambda name, default: model if name == "m" else default)
+    cli.main(["build", "demo", "--config", str(tmp_path / "c.yaml"), "--model", "m"])
+    cli.main(["ask", "demo", "--config", str(tmp_path / "c.yaml"), "--model", "m"])
+    cli.main(["ask", "demo", "--config", str(tmp_path / "c.yaml"), "--model", "m"])  # nothing is left to ask
+    got = tables.read_results(spark, f"file://{tmp_path}/out/demo/results").collect()
+    assert [(r["question_id"], r["generated_answer"]) for r in got] == [("demo_0", "Ann")]
