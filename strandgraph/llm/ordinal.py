@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from strandgraph.llm.arrowutil import split_words, text_blocks
 
 #: Hashed places, graded rows that the model is fitted on at most, steps of the fit, ridge.
-DIM, GRADED, STEPS, RIDGE = 1 << 13, 6_000, 250, 1e-4
+DIM, GRADED, STEPS, RIDGE = 1 << 13, 3_000, 250, 1e-4
 _TAIL = re.compile(r"[^\w]+$")
 
 
