@@ -76,14 +76,19 @@ def first_chunks(records: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "chunk_id").agg(F.min_by("path", F.struct("seq", "entity_id")).alias("path"), F.min("seq").alias("seq"))
 
 
+def triple_vectors(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(src, dst, relation, triple_id)``, and ``(triple_id, src, embedding)``: the mean of both ends' vectors."""
+    units = nodes.filter("embedding is not null").select("node_id", "embedding")
+    triples = edges.select("src", "dst", "relation").distinct().withColumn("triple_id", F.concat_ws("|", "src", "relation", "dst"))
+    vec = triples.join(units.select(F.col("node_id").alias("src"), F.col("embedding").alias("a")), "src").join(units.select(F.col("node_id").alias("dst"), F.col("embedding").alias("b")), "dst")
+    return triples, vec.select("triple_id", "src", F.zip_with("a", "b", lambda x, y: (x.cast("double") + y) / 2).alias("embedding"))
+
+
 def group_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, groups: DataFrame, active: DataFrame, k: int = TOP_K) -> DataFrame:
     """Both paths in each active group: entity records, last one per entity."""
     vectors = groups.select("subgraph_id", "node_id").join(nodes.filter("embedding is not null").select("node_id", "embedding"), "node_id").withColumnRenamed("node_id", "id")
     by_entity = expand(top_k_routed(queries, vectors, active, k), nodes, edges)
-    units = nodes.filter("embedding is not null").select("node_id", "embedding")
-    triples = edges.select("src", "dst", "relation").distinct().withColumn("triple_id", F.concat_ws("|", "src", "relation", "dst"))
-    vec = triples.join(units.select(F.col("node_id").alias("src"), F.col("embedding").alias("a")), "src").join(units.select(F.col("node_id").alias("dst"), F.col("embedding").alias("b")), "dst")
-    vec = vec.select("triple_id", "src", F.zip_with("a", "b", lambda x, y: (x.cast("double") + y) / 2).alias("embedding"))
+    triples, vec = triple_vectors(nodes, edges)
     inside = groups.select("subgraph_id", F.col("node_id").alias("src")).join(vec, "src").select("subgraph_id", F.col("triple_id").alias("id"), "embedding")
     by_triple = triple_ends(top_k_routed(queries, inside, active, k), triples, nodes).withColumn("seq", F.col("seq") + 1_000_000_000)
     return last_wins(by_entity.unionByName(by_triple))

@@ -435,6 +435,12 @@ def _(g):
     return retrieval.fuse(g.queries, r, g.chunk_vectors).select("query_id", "chunk_id", "score")
 
 
+@_query("top06_triple_rank", "SELECT query_id, src, relation, dst FROM (SELECT DISTINCT query_id, src, relation, dst FROM records WHERE src IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY src, relation, dst) <= 20")
+def _(g):
+    r = retrieval.expand(g.hits, g.nodes, g.all_edges)
+    return retrieval.fuse_triples(r).select("query_id", "src", "relation", "dst")
+
+
 @_query("top07_expert_rank", "SELECT query_id, subgraph_id, votes, round(score, 6) AS score FROM active")
 def _(g):
     r = retrieval.expand(g.hits, g.nodes, g.all_edges)
@@ -574,6 +580,17 @@ def _(g):
     return retrieval.expand(g.hits, g.nodes, g.all_edges).select("query_id", "entity_id", "path", F.round("similarity", 6).alias("similarity"), "chunk_id")
 
 
+@_query("rt02_triple_path", """, tv AS (SELECT trip.src, trip.dst, trip.relation, src || '|' || relation || '|' || dst AS id, list_transform(list_zip(a.e, b.e), lambda x: (x[1] + x[2]) / 2) AS e FROM trip JOIN entities a ON a.node_id = src JOIN entities b ON b.node_id = dst WHERE src IN (SELECT node_id FROM semantic)),
+th AS (SELECT query_id, src, relation, dst, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) + 1e-12), 6) DESC, id) AS rank FROM tv, queries QUALIFY rank <= 20),
+te AS (SELECT query_id, src AS entity_id, src, relation, dst, rank * 2 AS seq FROM th UNION ALL SELECT query_id, dst, src, relation, dst, rank * 2 + 1 FROM th)
+SELECT query_id, entity_id, arg_min(src, seq) AS src, arg_min(relation, seq) AS relation, arg_min(dst, seq) AS dst FROM te GROUP BY ALL""")
+def _(g):
+    triples, vec = retrieval.triple_vectors(g.nodes, g.edges)
+    inside = g.semantic.select(F.lit("Shared_Semantic").alias("subgraph_id"), F.col("node_id").alias("src")).join(vec, "src").select("subgraph_id", F.col("triple_id").alias("id"), "embedding")
+    hits = retrieval.top_k(g.queries, inside, by=["subgraph_id"])
+    return retrieval.triple_ends(hits, triples, g.nodes).select("query_id", "entity_id", "src", "relation", "dst")
+
+
 @_query("rt03_group_search")
 def _(g):
     hubs_ = g.groups.filter("kind = 'shared'").select("subgraph_id").distinct()
@@ -602,6 +619,24 @@ def _(g):
     return retrieval.context(retrieval.fuse(g.queries, r, g.chunk_vectors), retrieval.fuse_triples(r), g.chunks)
 
 
+@_query("qa01_decompose")
+def _(g):
+    from strandgraph import qa
+    from strandgraph.hooks import CannedModel
+
+    return qa.decompose(g.table("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")), CannedModel((), '["first part", "second part"]'))
+
+
+@_query("qa03_reflect")
+def _(g):
+    from strandgraph import qa
+    from strandgraph.hooks import CannedModel
+
+    model = CannedModel((("again", "So the answer is: yes"),), "The new query is: again")
+    ctx = lambda q: q.select("query_id", F.lit("").alias("context"))
+    return qa.reflect(g.table("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")), ctx, model, 3)
+
+
 @_query("qa02_replay", "SELECT conv_id, turn, text AS question, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn) || ', ', '') || text AS query FROM conversations", False)
 def _(g):
     return content.replay(g.table("conversations"))
@@ -684,6 +719,24 @@ def _(g):
     return micro_batch_counts(g.spark, f"{g.dir}/events.parquet")
 
 
+@_query("inc03_build_graph", "SELECT name, CASE WHEN name LIKE 'label:%' THEN 'attribute' ELSE 'entity' END AS label FROM (SELECT src AS name FROM raw UNION SELECT dst FROM raw UNION SELECT node_id FROM entities UNION SELECT 'label: ' || l FROM entities)")
+def _(g):
+    from strandgraph.construct import build_graph
+
+    return build_graph(g.parsed)[0].select("name", "label")
+
+
+@_query("inc03_build_edges", "SELECT DISTINCT src, dst, relation FROM (SELECT src, dst, relation FROM raw UNION ALL SELECT node_id, 'label: ' || l, 'has_attribute' FROM entities)")
+def _(g):
+    from strandgraph.construct import build_graph
+
+    nodes, edges = build_graph(g.parsed)
+    names = nodes.select("node_id", F.col("name").alias("new"))
+    from strandgraph.operators.content import rename_ends
+
+    return rename_ends(edges, names).select("src", "dst", "relation")
+
+
 @_query("flagship", "SELECT query_id, chunk_id, score FROM (SELECT DISTINCT query_id, chunk_id, round(list_inner_product(e, q), 6) AS score FROM records JOIN chunk_vectors USING (chunk_id) JOIN queries USING (query_id)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20")
 def flagship(g):
     r = retrieval.expand(g.hits, g.nodes, g.all_edges)
