@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,3 +103,11 @@ class Recent:
             self.new[key] = got
             return True
         return False
+
+
+def give_back() -> None:
+    """At the end of a task: return freed memory to the system, as workers live on beside other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

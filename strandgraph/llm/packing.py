@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandgraph.llm.arrowutil import Recent, gather, split_words, text_blocks
+from strandgraph.llm.arrowutil import Recent, gather, give_back, split_words, text_blocks
 from strandgraph.storage import Scratch
 
-#: Entries of each of the two halves of a worker's caches.
-CACHE = 250_000
+#: Entries of each of the two halves of a worker's caches of words and of their parts.
+CACHE, PARTS = 250_000, 150_000
 #: Pieces that one task of the later rounds packs, and the number of tasks of the last round.
 POOL, LAST = 4_000, 8
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -69,7 +69,7 @@ class WordTokenizer:
         """All texts' ids, without special tokens added, and where each text's begin (and the last end)."""
         offsets, codes, parts = split_words(pc.replace_substring(texts, "\n", " "))
         self.words.turn(CACHE)
-        self.tokens.turn(CACHE)
+        self.tokens.turn(PARTS)
         for w in parts:
             if not self.words.known(w):
                 self.words.new[w] = self._word(w)
@@ -139,6 +139,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> Dat
                 docs_at += len(texts)
         if cols[0]:
             yield _packed([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], part, size)
+        give_back()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
     return src.mapInArrow(run, f"{_SCHEMA}, open boolean")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandgraph.llm.arrowutil import give_back
 from strandgraph.llm.langid import CLASSES, held_out, letter_codes, trigram_counts
 
 #: Labelled rows that the lexicon and the logistic model are fitted on at most, entries of the lexicon at most.
@@ -161,6 +162,7 @@ def char_model(docs: DataFrame) -> CharModel:
                 if t.is_valid:
                     total += trigram_counts(letter_codes(t.as_py()))
         at = np.flatnonzero(total)
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["t", "n"])
 
     rows = docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
@@ -243,6 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
         for b in batches:
             got = [model.features(reader, t.as_py() or "") for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), b.column(1)], ["a", "b", "toxic"])
+        del reader
+        give_back()
 
     got = texts.filter("half = 1").select("text", "toxic").mapInArrow(features, "a double, b double, toxic int").toPandas()
     y = (got["toxic"].to_numpy() > 0).astype(np.float64)
@@ -263,6 +267,8 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
         for b in batches:
             got = [model.score(model.features(reader, t.as_py() or "")) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64()), pa.array([int(g >= 0.5) for g in got], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+        del reader
+        give_back()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", modulus, remainder).alias("held_out"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
