@@ -11,6 +11,7 @@ from strandgraph.functions import text as tx
 from strandgraph.functions import vectors as vx
 from strandgraph.operators import content, experts, extract, graph, hubs, memberships, retrieval
 from strandgraph.plans.fixture import GRAPH_SQL, Fixture
+from strandgraph.storage import Scratch
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracle: dict[str, str] = {}
@@ -604,7 +605,9 @@ def _(g):
 
 @_query("rt07_four_phases")
 def _(g):
-    records, _active = retrieval.retrieve(g.queries, g.nodes, g.edges, g.groups)
+    kept = Scratch(g.spark)  # all phases read these
+    nodes, edges, groups = kept.write(g.nodes), kept.write(g.edges), kept.write(g.groups)
+    records, _active = retrieval.retrieve(g.queries, nodes, edges, groups)
     return retrieval.fuse(g.queries, records, g.chunk_vectors)
 
 
