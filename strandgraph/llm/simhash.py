@@ -242,14 +242,19 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
 
 
 def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` of which one document of each group of near copies stays.
+    """The rows of ``docs`` of which one document of each group of near copies stays, as ``keep_first`` says."""
+    return keep_first(docs, near_duplicates(docs, radius, width))
+
+
+def keep_first(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """One document of each component of ``marked(doc_id, component_id)``.
 
     The document with the smallest ``doc_id`` stays.  Rows with a null
     ``doc_id`` cannot be told apart and all stay; of rows that repeat a kept
     ``doc_id`` one stays, the one with the smallest text hash.
     """
     scratch = Scratch(docs.sparkSession)
-    marked = scratch.write(near_duplicates(docs, radius, width))
+    marked = scratch.write(marked)
     gone = marked.filter("doc_id <> component_id").select("doc_id").distinct()
     twice = marked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     gone, twice = scratch.write(gone), scratch.write(twice)
