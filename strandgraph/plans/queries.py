@@ -305,7 +305,7 @@ def _(g):
 
 @_query("agg07_seeds")
 def _(g):
-    c = experts.seed_centroids(g.entities, 10)
+    c = experts.seed_centroids(g.entities)
     return g.spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "k int, centroid array<double>")
 
 
@@ -316,7 +316,7 @@ def _(g):
 
 @_query("agg08_fuzzy_c_means")
 def _(g):
-    c = experts.fuzzy_c_means(g.entities, experts.seed_centroids(g.entities, 10), rounds=10)
+    c = experts.fuzzy_c_means(g.entities, experts.seed_centroids(g.entities))
     return experts.memberships(g.entities, c)
 
 
