@@ -18,16 +18,26 @@ def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], check
     q.awaitTermination()
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory()
+
+
 def micro_batch_counts(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """``(event_type, n, users)`` of an event table that is taken file by file.
 
     Each batch writes its rows' keys under its batch number, so a repeated batch
-    overwrites itself; the totals are read from all batches.
+    overwrites itself; the totals are read from all batches.  ``path`` is one
+    file or a folder of part files.
     """
     base = f"{scratch_dir(spark)}/strandgraph/{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rstrip("/").rpartition("/")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", name if name.endswith(".parquet") else "*").option("recursiveFileLookup", True).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    if _is_folder(spark, path):
+        stream = stream.parquet(path)
+    else:
+        folder, _, name = path.rpartition("/")
+        stream = stream.option("pathGlobFilter", name).parquet(folder or ".")
 
     def step(batch: DataFrame, number: int) -> None:
         batch.groupBy("event_type", "user_id").count().write.mode("overwrite").parquet(f"{base}/out/batch={number}")
