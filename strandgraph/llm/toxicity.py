@@ -3,7 +3,7 @@
 A character language model is counted over every text.  Words that look
 disguised (digits or signs among letters, long repetitions, letters spelled out
 one by one) become lattices of what each character may stand for; a Viterbi
-search takes the likeliest path.  Plain and restored words are then scored by a
+search takes the likeliest path, whatever a word's or a spelled run's length.  Plain and restored words are then scored by a
 lexicon of words and word beginnings learned from labelled rows, and a logistic
 model turns a text's strongest evidence into a probability.
 
@@ -19,6 +19,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,15 @@ STANDS_FOR = {
 }
 _EDGE = ".,;:?\"'`)]}>-_#%&~^=…«»“”„’‘"
 _SIGNS = re.escape("".join(STANDS_FOR))
-_DISGUISED = re.compile(rf"[^\W\d_].*[{_SIGNS}]|[{_SIGNS}].*[^\W\d_]|(.)\1\1")
+_LETTER, _SIGN, _THRICE = re.compile(r"[^\W\d_]"), re.compile(f"[{_SIGNS}]"), re.compile(r"(.)\1\1")
 _SPELLED = re.compile(r"(?<![^\s])[^\W_](?:[ .\-_*]{1,2}[^\W_]){2,}(?![^\s.,!?;:])")
+#: The same with signs among the letters; a star, which also separates, only where it stands alone.
+_MARKS = re.escape("".join(c for c in STANDS_FOR if not c.isalnum() and c != "*"))
+_UNIT = rf"(?:[^\W_]|[{_MARKS}]|(?<![^\s.\-_])\*(?![^\s.\-_]))"
+_ONE = re.compile(_UNIT)
+_SIGNED = re.compile(rf"(?<![^\s]){_UNIT}(?:[ .\-_*]{{1,2}}{_UNIT}){{2,}}(?![^\s.,!?;:])")
+#: Letters of each part of a spelled run that may match the lexicon.
+PART = 60
 _RUN = re.compile(r"(.)\1*", re.S)
 
 
@@ -61,20 +69,37 @@ class CharModel:
     def decode(self, lattice: list[list[str]]) -> str:
         """The likeliest string that takes one option of each slot, between word ends; a space is a word end."""
         log = self.log
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # paths are linked from their ends: no copies
         for options in lattice:
-            step: dict[tuple[int, int], tuple[float, str]] = {}
-            coded = [(o, [0 if c == " " else int(x) for c, x in zip(o, letter_codes(o), strict=False)]) for o in options]
-            for (a, b), (p, text) in states.items():
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            coded = [(o, _codes(o)) for o in options]
+            for (a, b), (p, path) in states.items():
                 for o, codes in coded:
                     x, y, q = a, b, p
                     for c in codes:
                         q += float(log[x, y, c])
                         x, y = y, c
                     if (x, y) not in step or step[x, y][0] < q:
-                        step[x, y] = (q, text + o)
+                        step[x, y] = (q, (path, o))
             states = step
-        return max((p + float(log[a, b, 0]), t) for (a, b), (p, t) in states.items())[1]
+        ends = [(p + float(log[a, b, 0]), path) for (a, b), (p, path) in states.items()]
+        most = max(p for p, _ in ends)
+        return max(_path(path) for p, path in ends if p == most)
+
+
+@lru_cache(100_000)
+def _codes(option: str) -> list[int]:
+    """The letter classes of an option."""
+    return [0 if c == " " else int(x) for c, x in zip(option, letter_codes(option), strict=False)]
+
+
+def _path(path: tuple | None) -> str:
+    """The string of a path."""
+    out = []
+    while path is not None:
+        path, o = path
+        out.append(o)
+    return "".join(reversed(out))
 
 
 def lattice(word: str) -> list[list[str]]:
@@ -101,7 +126,7 @@ def restore(word: str, model: CharModel) -> list[str]:
     rough = word.strip(_EDGE)
     if plain and not plain.isalnum() and (joined := "".join([c for c in plain if c.isalnum()])):
         out.append(joined)
-    if rough and len(rough) <= 40 and _DISGUISED.search(rough):
+    if rough and (_THRICE.search(rough) or _SIGN.search(rough) and _LETTER.search(rough)):
         for form in {rough, plain}:
             slots = lattice(form)
             if 2 < len(slots):
@@ -110,20 +135,31 @@ def restore(word: str, model: CharModel) -> list[str]:
 
 
 def spelled(text: str, model: CharModel) -> list[str]:
-    """Words that a lower-cased text spells letter by letter."""
+    """Words that a lower-cased text spells letter by letter, with or without signs among the letters."""
     out = []
     for m in _SPELLED.finditer(text):
-        letters = [c for c in m[0] if c.isalnum()]
-        for i in range(0, len(letters), 60):
-            part = letters[i : i + 60]
-            slots = [list(STANDS_FOR.get(c, c)) if not c.isalpha() else [c] for c in part]
-            slots = [slots[0]] + [[*s, *[" " + x for x in s]] for s in slots[1:]] if slots else []
-            if slots:
-                whole = "".join(part)
-                out += [*[whole[k:] for k in range(len(whole) - 3)], *model.decode(slots).split()]
+        whole = "".join(c for c in m[0] if c.isalnum())
+        out += [*_parts(whole), *_spaced(whole, model)]
+    for m in _SIGNED.finditer(text):
+        whole = "".join(u[0] for u in _ONE.finditer(text, m.start(), m.end() + 1) if u.start() < m.end())
+        if not whole.isalnum() and _LETTER.search(whole):  # signs alone disguise nothing
+            for form in {whole, whole.strip("!|*+(")}:
+                words = _spaced(form, model)
+                out += [*_parts("".join(words)), *words]
     return out
 
 
+def _parts(whole: str) -> list[str]:
+    """A part from each letter of a run on; parts overlap in all but one letter."""
+    return [whole[k : k + PART] for k in range(len(whole) - 3)]
+
+
+def _spaced(letters: str, model: CharModel) -> list[str]:
+    """The likeliest words of a run of letters and signs."""
+    slots = [list(STANDS_FOR.get(c, c)) if not c.isalpha() else [c] for c in letters]
+    return model.decode([slots[0]] + [[*s, *[" " + x for x in s]] for s in slots[1:]]).split() if slots else []
+
+
 def evidence(word: str) -> list[str]:
     """The lexicon entries that a word may match."""
     return [word + "$", *[word[:n] for n in BEGINNINGS if len(word) >= n]] if len(word) > 2 else []
