@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,8 +65,8 @@ def _repaired(text: str | None) -> str | None:
     try:
         found, _ = json.JSONDecoder().raw_decode(body)
         return json.dumps(found, ensure_ascii=False) if isinstance(found, dict) else "{}"
-    except ValueError:
-        pass
+    except ValueError as wrong:
+        at = getattr(wrong, "pos", len(body))
     closers, quoted, skip, good = [], False, False, []
     for i, c in enumerate(body):
         if quoted:
@@ -78,7 +79,8 @@ def _repaired(text: str | None) -> str | None:
             closers.pop()
         if not quoted and c in '}],"':
             good.append((i if c == "," else i + 1, "".join(reversed(closers))))
-    for end, tail in reversed(good[-200:]):
+    # near the end first; a fault far before it leaves what stands before the fault, which is valid
+    for end, tail in chain(reversed(good[-200:]), reversed([g for g in good[:-200] if g[0] <= at])):
         try:
             found = json.loads(body[:end] + tail)
         except ValueError:
