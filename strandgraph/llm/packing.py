@@ -15,7 +15,6 @@ empty result.
 
 from __future__ import annotations
 
-import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -23,58 +22,98 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandgraph.llm.arrowutil import Recent, gather, give_back, split_words, text_blocks
+from strandgraph.llm.arrowutil import give_back, text_blocks
 from strandgraph.storage import Scratch
 
-#: Entries of each of the two halves of a worker's caches of words and of their parts.
-CACHE, PARTS = 250_000, 150_000
+#: Words that a task keeps with their ids; beyond, it starts anew.
+CACHE = 1_000_000
 #: Pieces that one task of the later rounds packs, and the number of tasks of the last round.
 POOL, LAST = 4_000, 8
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 _FIELDS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
+class Known:
+    """Strings with their ids, all in flat arrays; strings are only ever added."""
+
+    def __init__(self):
+        self.keys = pa.array([], pa.large_string())
+        self.ids, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def codes(self, keys: pa.Array) -> np.ndarray:
+        """The place of each string, -1 for new ones."""
+        return pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, keys: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.ids, self.lens = np.concatenate((self.ids, ids)), np.concatenate((self.lens, lens))
+
+    def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings at some places, one after the other, and where each one's begin (and the last end)."""
+        n = self.lens[codes]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        at = np.repeat((np.cumsum(self.lens) - self.lens)[codes] - ends[:-1], n)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+
 class WordTokenizer:
-    """A tokenizer whose pre-tokenizer drops white space and splits words by a pattern: each word's ids are looked up once."""
+    """A tokenizer whose pre-tokenizer drops white space and splits words by a pattern: each distinct word's ids are looked up once.
+
+    Words are split into parts and looked up in whole columns; only parts not
+    met before go to the tokenizer's model one by one.
+    """
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        with open(path, encoding="utf-8") as f:
-            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
-        #: Words of these characters only are their own normal form but for case; in others the library does all.
-        self.simple = regex.compile(r"[\x21-\x3B\x3D-\x7E\xA1-\u012F\u0131-\u017F]*")
+        #: Words of these characters only are their own normal form but for case, and their parts are runs of
+        #: letters, single digits and runs of other signs; in all others the library does the whole work.
+        self.simple = r"^[\x21-\x26\x28-\x3B\x3D-\x7E\xA1-\x{12F}\x{131}-\x{17F}]*$"
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        self.words, self.tokens = Recent(), Recent()
-
-    def _word(self, word: str) -> bytes:
-        if not self.simple.fullmatch(word):
-            return np.array(self.tok.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
-        out = []
-        for token in self.pattern.findall(word.lower()):
-            if not self.tokens.known(token):
-                ids = [t.id for t in self.model.tokenize(token.encode().decode("latin-1").translate(self.bytes))]
-                self.tokens.new[token] = np.array(ids, np.uint32).tobytes()
-            out.append(self.tokens.new[token])
-        return b"".join(out)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the words and parts met so far."""
+        self.words, self.parts = Known(), Known()
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, without special tokens added, and where each text's begin (and the last end)."""
-        offsets, codes, parts = split_words(pc.replace_substring(texts, "\n", " "))
-        self.words.turn(CACHE)
-        self.tokens.turn(PARTS)
-        for w in parts:
-            if not self.words.known(w):
-                self.words.new[w] = self._word(w)
-        words = self.words.new
-        return gather([words[w] for w in parts], codes, offsets, np.uint32)
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        offsets = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        if len(self.words.keys) > CACHE:
+            self.forget()
+        self._learn(coded.dictionary.filter(pa.array(self.words.codes(coded.dictionary) < 0)))
+        ids, ends = self.words.take(self.words.codes(coded.dictionary)[coded.indices.to_numpy()])
+        return ids, ends[offsets - offsets[0]]
+
+    def _learn(self, words: pa.Array) -> None:
+        """Look up distinct new words."""
+        easy = pc.match_substring_regex(words, self.simple)
+        rest = words.filter(pc.invert(easy))
+        got = [np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32) for w in rest.to_pylist()]
+        self.words.add(rest, np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(g) for g in got], np.int64))
+        words = words.filter(easy)
+        lists = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words), r"([^\p{L}\p{N}]+|\p{N})", r" \1 "), " ")
+        flat, at = lists.flatten(), lists.offsets.to_numpy()
+        full = pc.binary_length(flat).to_numpy() > 0
+        n = np.concatenate(([0], np.cumsum(full)))[at - at[0]]
+        coded = flat.filter(pa.array(full)).dictionary_encode()
+        new = coded.dictionary.filter(pa.array(self.parts.codes(coded.dictionary) < 0))
+        ids, lens, tokenize, table = [], [], self.model.tokenize, self.bytes
+        for part in new.to_pylist():
+            tokens = tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(table))
+            ids += [t.id for t in tokens]
+            lens.append(len(tokens))
+        self.parts.add(new, np.array(ids, np.uint32), np.array(lens, np.int64))
+        ids, ends = self.parts.take(self.parts.codes(coded.dictionary)[coded.indices.to_numpy()])
+        self.words.add(words, ids, np.diff(ends[n]))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -139,6 +178,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> Dat
                 docs_at += len(texts)
         if cols[0]:
             yield _packed([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], part, size)
+        tok.forget()
         give_back()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
