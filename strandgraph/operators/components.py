@@ -24,18 +24,18 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(edges.sparkSession)
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    e = scratch.write(e.filter("u is not null and v is not null and u <> v").distinct())
+    e = scratch.write(e.filter("u is not null and v is not null and u <> v").distinct(), compact=True)
     before = _digest(e)
     if not before[0]:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.write(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        low = scratch.write(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), compact=True)
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.write(large.distinct())
-        low2 = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = scratch.write(large.distinct(), compact=True)
+        low2 = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), compact=True)
         small = large.join(low2, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = scratch.write(small.union(low2.select("u", F.col("m").alias("v"))).distinct())
+        small = scratch.write(small.union(low2.select("u", F.col("m").alias("v"))).distinct(), compact=True)
         scratch.drop(e, low, large, low2)
         after = _digest(small)
         e = small
