@@ -1,7 +1,7 @@
 """Repeated runs of lines, found with a suffix array over line ids.
 
-Each document is its sequence of lines that hold a word; a line's id is its
-64-bit hash.  Ranks of all suffixes by their first 1, 2, 4, ... lines come from
+Each document is its sequence of lines that hold a word; lines that occur more
+than once, told apart by two 64-bit hashes, are numbered.  Ranks of all suffixes by their first 1, 2, 4, ... lines come from
 prefix doubling: pairs of ranks 2^k lines apart are sorted over all partitions
 and numbered in order; suffixes whose prefix occurs once drop out.  Suffixes
 that share their first L lines are an interval of the suffix array whose longest
@@ -35,12 +35,18 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _KEY = ["d", "th"]
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    return [next(x for k in range(len(taken) + 1) if (x := "_" * k + n) not in taken) for n in names]
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """``(d, th, p, i, h, w)``: document, place among its lines with words, line number, line id, words."""
+    """``(d, th, p, i, h, h2, w)``: document, place among its lines with words, line number, hashes of the line, words."""
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     src = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), F.filter(numbered, lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     out = src.select("d", "th", F.posexplode("lines").alias("p", "s"))
-    return out.select("d", "th", "p", "s.i", F.xxhash64("s.x").alias("h"), F.regexp_count(F.col("s.x"), F.lit(_WORD)).alias("w"))
+    return out.select("d", "th", "p", "s.i", F.xxhash64("s.x").alias("h"), F.xxhash64(F.lit(1), "s.x").alias("h2"), F.regexp_count(F.col("s.x"), F.lit(_WORD)).alias("w"))
 
 
 def _windows(active: DataFrame, min_words: int) -> DataFrame:
@@ -75,23 +81,26 @@ def _windows(active: DataFrame, min_words: int) -> DataFrame:
 def _double(level: DataFrame, step: int, scratch: Scratch) -> DataFrame:
     """Ranks by ``2 * step`` lines from those by ``step`` lines, ``(d, th, p, r)``; prefixes that occur once drop out."""
     ahead = Window.partitionBy(*_KEY).orderBy("p").rangeBetween(step, step)
-    pairs = scratch.write(level.withColumn("r2", F.max("r").over(ahead)).filter("r2 is not null"))
+    pairs = scratch.write(level.withColumn("r2", F.max("r").over(ahead)).filter("r2 is not null"), compact=True)
     many = pairs.groupBy("r", "r2").count().filter("count > 1").select("r", "r2")
-    ranked = scratch.write(many.orderBy("r", "r2").withColumn("rank", F.monotonically_increasing_id()))
-    out = scratch.write(pairs.join(ranked, ["r", "r2"]).select(*_KEY, "p", F.col("rank").alias("r")))
+    ranked = scratch.write(many.orderBy("r", "r2").withColumn("rank", F.monotonically_increasing_id()), compact=True)
+    out = scratch.write(pairs.join(ranked, ["r", "r2"]).select(*_KEY, "p", F.col("rank").alias("r")), compact=True)
     scratch.drop(pairs, ranked)
     return out
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(d, th, runs)``: per document (id, text hash) the line ranges to delete, as ``array<struct<b,e>>``, ends included."""
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     lines = _lines(docs)
-    often = scratch.write(lines.groupBy("h").count().filter("count > 1").select("h"))
-    active = scratch.write(lines.join(often, "h", "left_semi").dropDuplicates([*_KEY, "p"]))
-    windows = scratch.write(_windows(active, min_words))
+    often = lines.groupBy("h", "h2").count().filter("count > 1").select("h", "h2", F.monotonically_increasing_id().alias("line"))
+    often = scratch.write(often, compact=True)
+    active = lines.join(often, ["h", "h2"]).select(*_KEY, "p", "i", "line", "w").dropDuplicates([*_KEY, "p"])
+    active = scratch.write(active, compact=True)
+    scratch.drop(often)
+    windows = scratch.write(_windows(active, min_words), compact=True)
     longest = windows.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 0
-    level = active.select(*_KEY, "p", F.col("h").alias("r"))
+    level = active.select(*_KEY, "p", F.col("line").alias("r"))
     levels, k = level.withColumn("k", F.lit(0)), 0
     while 2 << k <= longest:
         level = _double(level, 1 << k, scratch)
@@ -109,9 +118,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return of.join(side, same).drop("d_", "th_", "k_", "p_")
 
     named = rank(rank(named, "s", "ra"), "z", "rb")
-    named = scratch.write(named.select(*_KEY, "s", "e", "bs", "be", n.alias("n"), "ra", "rb"))
+    named = scratch.write(named.select(*_KEY, "s", "e", "bs", "be", n.alias("n"), "ra", "rb"), compact=True)
+    scratch.keep_only(named)
     place = F.struct("d", "th", "s")
-    first = scratch.write(named.groupBy("n", "ra", "rb").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"))
+    first = scratch.write(named.groupBy("n", "ra", "rb").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"), compact=True)
     later = named.join(first, ["n", "ra", "rb"]).filter(~place.eqNullSafe(F.col("first")))
     order = Window.partitionBy(*_KEY).orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -123,13 +133,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, runs_as: str | None = None) -> DataFrame:
     """``docs`` with later copies of repeated runs deleted from ``text``; ``runs_as`` names a column for the deleted line ranges."""
-    cols = docs.columns
+    cols, scratch = docs.columns, Scratch(docs.sparkSession)
+    d, th, gone = unused(cols, "d", "th", "runs")
     src = docs.withColumn("text", F.col("text").cast("string"))
-    found = Scratch(docs.sparkSession).write(repeated_runs(src.select("doc_id", "text"), min_words).select(F.col("d").alias("__d"), F.col("th").alias("__th"), F.col("runs").alias("__runs")))
+    runs = repeated_runs(src.select("doc_id", "text"), min_words, scratch)
+    found = scratch.write(runs.select(F.col("d").alias(d), F.col("th").alias(th), F.col("runs").alias(gone)), compact=True)
+    scratch.keep_only(found)
     # always a merge join: the table of runs grows with the corpus
-    out = src.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__th")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("__runs", lambda r: (i >= r["b"]) & (i <= r["e"])))
-    out = out.withColumn("text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    out = src.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(th)), "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists(gone, lambda r: (i >= r["b"]) & (i <= r["e"])))
+    out = out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*cols, *([F.col("__runs").alias(runs_as)] if runs_as else []))
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*cols, *([F.col(gone).alias(runs_as)] if runs_as else []))
