@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from strandgraph.llm.arrowutil import give_back
 from strandgraph.llm.langid import CLASSES, held_out, letter_codes, trigram_counts
 
-#: Labelled rows that the lexicon and the logistic model are fitted on at most, entries of the lexicon at most.
-LABELLED, LEXICON = 20_000, 20_000
+#: Labelled rows that the lexicon and the logistic model are fitted on at most; the lexicon holds what they hold.
+LABELLED = 20_000
 #: Lengths of word beginnings that count as evidence beside the word, rows of toxic texts that an entry needs.
 BEGINNINGS, SUPPORT = (4, 5, 6, 7), 3
 #: Words that a worker keeps with their evidence.
@@ -68,6 +68,8 @@ class CharModel:
 
     def decode(self, lattice: list[list[str]]) -> str:
         """The likeliest string that takes one option of each slot, between word ends; a space is a word end."""
+        if all(len(options) == 1 for options in lattice):
+            return "".join([options[0] for options in lattice])
         log = self.log
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # paths are linked from their ends: no copies
         for options in lattice:
@@ -124,13 +126,11 @@ def restore(word: str, model: CharModel) -> list[str]:
     plain = word.strip(_EDGE + "!|*+")
     out = [plain] if plain else []
     rough = word.strip(_EDGE)
-    if plain and not plain.isalnum() and (joined := "".join([c for c in plain if c.isalnum()])):
-        out.append(joined)
+    forms = {plain} if plain and not plain.isalnum() and _LETTER.search(plain) else set()
     if rough and (_THRICE.search(rough) or _SIGN.search(rough) and _LETTER.search(rough)):
-        for form in {rough, plain}:
-            slots = lattice(form)
-            if 2 < len(slots):
-                out += model.decode(slots).split()
+        forms |= {f for f in (rough, plain) if len(lattice(f)) > 2}
+    for form in sorted(forms):
+        out += model.decode(lattice(form)).split()
     return out
 
 
@@ -139,7 +139,8 @@ def spelled(text: str, model: CharModel) -> list[str]:
     out = []
     for m in _SPELLED.finditer(text):
         whole = "".join(c for c in m[0] if c.isalnum())
-        out += [*_parts(whole), *_spaced(whole, model)]
+        words = _spaced(whole, model)
+        out += [*_parts("".join(words)), *words]
     for m in _SIGNED.finditer(text):
         whole = "".join(u[0] for u in _ONE.finditer(text, m.start(), m.end() + 1) if u.start() < m.end())
         if not whole.isalnum() and _LETTER.search(whole):  # signs alone disguise nothing
@@ -267,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
     counted = texts.filter("half = 0").select("text", "toxic").mapInArrow(count, "entry string, clean long, toxic long")
     counted = counted.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = counted.filter((F.col("entry") == "") | ((F.col("toxic") >= SUPPORT) & (F.col("toxic") > F.col("clean"))))
-    rows = counted.orderBy(F.col("entry") != "", F.desc("toxic"), "entry").limit(LEXICON + 1).collect()
+    rows = counted.collect()
     total = next(((r["clean"], r["toxic"]) for r in rows if r["entry"] == ""), (0, 0))
     weights = {}
     for r in rows:
