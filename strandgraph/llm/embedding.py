@@ -111,7 +111,7 @@ def _assign(nodes: DataFrame, cents: dict[int, np.ndarray]) -> DataFrame:
 def _compare(placed: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """``(src, dst, links)``: rows with ``dst`` are links that span each group, rows without it count a vector's links."""
     keyed = placed.select("*", F.explode("cells").alias("cell"))
-    hot = scratch.write(keyed.groupBy("dim", "cell").count().filter(F.col("count") > BLOCK))
+    hot = scratch.write(keyed.groupBy("dim", "cell").count().filter(F.col("count") > BLOCK), compact=True)
     keyed = keyed.join(hot, ["dim", "cell"], "left").withColumn("blocks", F.ceil(F.coalesce("count", F.lit(1)) / BLOCK).cast("int"))
     keyed = keyed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = keyed.select("node", "copies", "embedding", "cells", "dim", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
@@ -175,6 +175,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     links = found.filter("dst is null").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.filter("dst is not null").select("src", "dst"), scratch)
     classes = scratch.write(nodes.join(links, "node", "left").join(roots, "node", "left").select("embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("root")))
+    scratch.keep_only(classes)
     out = vectors.join(classes, "embedding", "left")
     known = F.col("vec_id").isNotNull()
     root = F.when(known, F.coalesce("root", "vec_id"))

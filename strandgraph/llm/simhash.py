@@ -177,7 +177,7 @@ def links(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
             kept = [b for b in part if b not in free]
             probes.append(F.struct(F.lit(i * 100_000 + j).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(kept))).alias("key")))
     keyed = nodes.select("node", "fp", F.explode(F.array(*probes)).alias("k")).select("node", "fp", "k.part", "k.key")
-    hot = scratch.write(keyed.groupBy("part", "key").count().filter(F.col("count") > BLOCK))
+    hot = scratch.write(keyed.groupBy("part", "key").count().filter(F.col("count") > BLOCK), compact=True)
     keyed = keyed.join(hot, ["part", "key"], "left")
     blocks = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / F.lit(BLOCK)).cast("int")
     keyed = keyed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -235,9 +235,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     """
     scratch = Scratch(docs.sparkSession)
     marked = scratch.write(fingerprints(docs, width))
-    nodes = scratch.write(marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
+    nodes = scratch.write(marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), compact=True)
     found = components(links(nodes, radius, scratch), scratch)
-    classes = scratch.write(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
+    classes = scratch.write(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), compact=True)
+    scratch.keep_only(marked, classes)
     return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -257,7 +258,8 @@ def keep_first(docs: DataFrame, marked: DataFrame) -> DataFrame:
     marked = scratch.write(marked)
     gone = marked.filter("doc_id <> component_id").select("doc_id").distinct()
     twice = marked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    gone, twice = scratch.write(gone), scratch.write(twice)
+    gone, twice = scratch.write(gone, compact=True), scratch.write(twice, compact=True)
+    scratch.keep_only(gone, twice)
     kept = docs.join(gone, "doc_id", "left_anti")
     single = kept.join(twice, "doc_id", "left_anti")
     repeated = kept.join(twice, "doc_id", "left_semi")
