@@ -1,12 +1,17 @@
-"""Near copies by the Jaccard similarity of five-word shingles.
-
-MinHash proposes, shingles decide: texts that agree in one of ``BANDS`` bands of
-``ROWS`` minima are candidates, and a pair is linked only if its whole sets of
-shingles have a similarity of ``SIMILAR`` or more.  A pair of exactly that
-similarity shares no band with probability ``(1 - 0.8 ** 4) ** 32``, 5e-8; more
-alike ones still less.  Candidates are first compared with one text of each
-bucket; of the classes this gives, only members of different ones are compared
-as pairs, so that a large group of copies gives few pairs.
+"""Near copies by the Jaccard similarity of five-word shingles: SimHash proposes first, MinHash what it cannot reach.
+
+Fingerprints of the five-word shingles are searched as in ``simhash``: texts
+within ``RADIUS`` bits are candidates.  Two texts of similarity 0.8 differ in
+about ten of 64 bits, and no partition of 64 bits makes a search of that radius
+selective, so this alone would lose most near copies.  Therefore texts that
+agree in one of ``BANDS`` bands of ``ROWS`` minima of the same shingles are
+candidates too.  Shingles decide: a pair is linked only if its whole sets have a
+similarity of ``SIMILAR`` or more.  A pair of exactly that similarity shares no
+band with probability ``(1 - 0.8 ** 4) ** 32``, 5e-8; more alike ones still
+less.  Of each bucket of a band, every text is first compared with one; of the
+classes that this and the fingerprints give, only members of different ones are
+compared as pairs, so that a large group of copies gives few pairs.  Shingles
+are made again from the texts of candidates only; none are kept for others.
 
 Defined results: words are those of ``simhash.fingerprint``; texts of fewer than
 five words have one shingle, the text; null and empty texts are copies of each
@@ -26,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.llm.arrowutil import give_back
-from strandgraph.llm.simhash import keep_first
+from strandgraph.llm.simhash import BITS, keep_first
+from strandgraph.llm.simhash import links as bit_links
 from strandgraph.operators.components import components
 from strandgraph.storage import Scratch
 
-#: Words of a shingle; the least similarity, as a fraction; bands and the minima in each.
-WIDTH, SIMILAR, BANDS, ROWS = 5, (4, 5), 32, 4
+#: Words of a shingle; the least similarity, as a fraction; bits that proposed fingerprints differ in at most; bands and the minima in each.
+WIDTH, SIMILAR, RADIUS, BANDS, ROWS = 5, (4, 5), 3, 32, 4
+#: Candidate texts whose hashes are broadcast at most (16 bytes each); more are joined by sorting.
+BROADCAST = 2_000_000
 _ODD = np.random.default_rng(17).integers(0, 2**63, BANDS * ROWS, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,29 +75,60 @@ def bands(found: np.ndarray) -> np.ndarray:
     return key
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles."""
+    total = np.zeros(BITS, np.int64)
+    for i in range(0, len(found), 65_536):
+        total += np.unpackbits(found[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(found), bitorder="little").view(np.uint64)[0])
+
+
+def _node(found: np.ndarray) -> int:
+    """A hash of a set of shingles."""
+    return xxhash.xxh64_intdigest(found.tobytes(), 7)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+
+
 def marks(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, node, n, keys, shingles)``; ``node`` is a hash of the set, ``n`` its size."""
+    """``docs(doc_id, text)`` -> ``(doc_id, node, n, fp, keys)``; ``node`` is a hash of the set, ``n`` its size, ``fp`` its fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, n, fp = (np.zeros(b.num_rows, t) for t in (np.uint64, np.int32, np.uint64))
+            keys = np.zeros((b.num_rows, BANDS), np.uint64)
+            for i, t in enumerate(b.column(1)):
+                s = shingles(t.as_py())
+                node[i], n[i], fp[i], keys[i] = _node(s), len(s), fingerprint(s), bands(s)
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * np.int32(BANDS))
+            lists = pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node.view(np.int64)), pa.array(n), pa.array(fp.view(np.int64)), lists], ["doc_id", "node", "n", "fp", "keys"])
+        give_back()
+
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, n int, fp long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(node, shingles)`` of the texts of ``wanted(doc_id, node)``."""
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    src = _texts(docs).join(wanted, "doc_id").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 sets = [shingles(t.as_py()) for t in part.column(1)]
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64)
-                keys = np.concatenate([bands(s) for s in sets]).view(np.int64)
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                columns = [
-                    part.column(0),
-                    pa.array(node.view(np.int64)),
-                    pa.array(np.diff(ends)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * np.int32(BANDS)), pa.array(keys)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "keys", "shingles"])
+                node = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
+                same = np.flatnonzero(node == part.column(0).to_numpy()).tolist()  # another text may have the same id
+                ends = np.cumsum([0, *[len(sets[i]) for i in same]]).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, np.uint64), *[sets[i] for i in same]]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node[same]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "shingles"])
         give_back()
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return src.mapInArrow(run, "doc_id long, node long, n int, keys array<long>, shingles array<long>")
+    return src.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -108,23 +147,39 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
-def links(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """``sets(node, n, keys, shingles)`` with distinct ``node`` -> pairs that span each group of linked nodes."""
-    keyed = scratch.write(sets.select("node", "n", F.explode("keys").alias("key")))
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``pairs`` that ``verified`` keeps, written; ``nodes(node, doc_id)`` names a text for each set."""
+    pairs = scratch.write(pairs, compact=True)
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    wanted = scratch.write(nodes.select("node", "doc_id").join(ends, "node"), compact=True)
+    sets = scratch.write(shingle_sets(docs, wanted))
+    out = scratch.write(verified(pairs, sets), compact=True)
+    scratch.drop(pairs, wanted, sets)
+    return out
+
+
+def links(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``nodes(node, doc_id, n, fp, keys)`` with distinct ``node`` -> pairs that span each group of linked nodes."""
+    prints = scratch.write(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("c")).select("fp", F.col("c.node").alias("node"), F.col("c.n").alias("m")), compact=True)
+    bits = scratch.write(bit_links(prints.select("node", "fp"), RADIUS, scratch))
+    sizes = nodes.select("node", "n")
+    bits = bits.join(sizes.select(F.col("node").alias("src"), F.col("n").alias("m")), "src").join(sizes.select(F.col("node").alias("dst"), "n"), "dst")
+    alike = nodes.join(prints.select("fp", F.col("node").alias("src"), "m"), "fp").select("src", F.col("node").alias("dst"), "m", "n")
+    keyed = scratch.write(nodes.select("node", "n", F.explode("keys").alias("key")))
     first = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    first = scratch.write(first.select("key", F.col("c.node").alias("src"), F.col("c.n").alias("m")))
-    star = keyed.join(first, "key")
-    near = scratch.write(verified(scratch.write(_pairs(star.select("src", F.col("node").alias("dst"), "m", "n"))), sets))
+    first = scratch.write(first.select("key", F.col("c.node").alias("src"), F.col("c.n").alias("m")), compact=True)
+    star = keyed.join(first, "key").select("src", F.col("node").alias("dst"), "m", "n")
+    near = _confirmed(_pairs(bits.select("src", "dst", "m", "n").unionByName(alike).unionByName(star)), nodes, docs, scratch)
     class_of = components(near, scratch)
     shared = keyed.join(first.select("key"), "key").join(class_of, "node", "left")
-    shared = scratch.write(shared.select("key", F.coalesce("component", "node").alias("class"), "node", "n"))
+    shared = scratch.write(shared.select("key", F.coalesce("component", "node").alias("class"), "node", "n"), compact=True)
     mixed = shared.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
-    heads = scratch.write(shared.join(mixed, "key").select("key", "class").distinct())
+    heads = scratch.write(shared.join(mixed, "key").select("key", "class").distinct(), compact=True)
     across = heads.join(heads.select("key", F.col("class").alias("other")), "key").filter("class < other")
     across = across.join(shared.select("key", "class", F.col("node").alias("src"), F.col("n").alias("m")), ["key", "class"])
     across = across.join(shared.select("key", F.col("class").alias("other"), F.col("node").alias("dst"), "n"), ["key", "other"])
-    more = verified(scratch.write(_pairs(across.select("src", "dst", "m", "n"))), sets)
-    return scratch.write(near.unionByName(more))
+    more = _confirmed(_pairs(across.select("src", "dst", "m", "n")), nodes, docs, scratch)
+    return near.unionByName(more)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -136,13 +191,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     marked = scratch.write(marks(docs))
     known = marked.filter("doc_id is not null")
-    one = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = scratch.write(known.join(one, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "n", "keys", "shingles"))
-    found = components(links(sets, scratch), scratch)
-    classes = one.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("class"))
-    classes = scratch.write(classes)
+    nodes = known.groupBy("node").agg(F.min(F.struct("doc_id", "n", "fp", "keys")).alias("r"))
+    nodes = scratch.write(nodes.select("node", "r.*"), compact=True)
+    found = components(links(nodes, docs, scratch), scratch)
+    classes = nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("class"))
+    classes = scratch.write(classes, compact=True)
     least = classes.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return marked.select("doc_id", "node").join(scratch.write(classes.join(least, "class").select("node", "component_id")), "node", "left").select("doc_id", "component_id")
+    classes = scratch.write(classes.join(least, "class").select("node", "component_id"), compact=True)
+    scratch.keep_only(marked, classes)
+    return marked.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
