@@ -51,15 +51,14 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(diff)
 
 
-def text_blocks(texts: pa.Array, chars: int = 4_000_000) -> Iterator[pa.StringArray]:
-    """Consecutive slices of about ``chars`` bytes of text; nulls become empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+def text_blocks(texts: pa.Array, chars: int = 4_000_000) -> Iterator[pa.LargeStringArray]:
+    """Consecutive slices of about ``chars`` bytes of text; nulls become empty.  Only a slice at a time is copied."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         base = ends[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, base + chars, "right")))
-        yield texts.slice(at, stop - at)
+        yield pc.fill_null(texts.slice(at, stop - at).cast(pa.large_string()), "")
         at = stop
 
 

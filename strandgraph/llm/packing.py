@@ -29,8 +29,8 @@ from tokenizers import Tokenizer
 from strandgraph.llm.arrowutil import give_back, text_blocks
 from strandgraph.storage import Scratch
 
-#: Words that a task keeps with their ids; beyond, it starts anew.
-CACHE = 1_000_000
+#: Parts of words that a task keeps with their ids; beyond, it starts anew.
+CACHE = 500_000
 #: Pieces that one task of the later rounds packs, and the number of tasks of the last round.
 POOL, LAST = 4_000, 8
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -62,10 +62,10 @@ class Known:
 
 
 class WordTokenizer:
-    """A tokenizer whose pre-tokenizer drops white space and splits words by a pattern: each distinct word's ids are looked up once.
+    """A tokenizer whose pre-tokenizer drops white space and splits words by a pattern.
 
-    Words are split into parts and looked up in whole columns; only parts not
-    met before go to the tokenizer's model one by one.
+    The distinct words of a block are split into parts and looked up in whole
+    columns; only parts not met before go to the tokenizer's model one by one.
     """
 
     def __init__(self, path: str):
@@ -79,41 +79,48 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        """Drop the words and parts met so far."""
-        self.words, self.parts = Known(), Known()
+        """Drop the parts met so far."""
+        self.parts = Known()
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, without special tokens added, and where each text's begin (and the last end)."""
         lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         offsets = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        if len(self.words.keys) > CACHE:
+        del lists
+        if len(self.parts.keys) > CACHE:
             self.forget()
-        self._learn(coded.dictionary.filter(pa.array(self.words.codes(coded.dictionary) < 0)))
-        ids, ends = self.words.take(self.words.codes(coded.dictionary)[coded.indices.to_numpy()])
+        words = self._words(coded.dictionary)
+        ids, ends = words.take(coded.indices.to_numpy())
         return ids, ends[offsets - offsets[0]]
 
-    def _learn(self, words: pa.Array) -> None:
-        """Look up distinct new words."""
+    def _words(self, words: pa.Array) -> Known:
+        """The ids of distinct words, at their places."""
         easy = pc.match_substring_regex(words, self.simple)
-        rest = words.filter(pc.invert(easy))
-        got = [np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32) for w in rest.to_pylist()]
-        self.words.add(rest, np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(g) for g in got], np.int64))
-        words = words.filter(easy)
-        lists = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words), r"([^\p{L}\p{N}]+|\p{N})", r" \1 "), " ")
+        got = [np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32) for w in words.filter(pc.invert(easy)).to_pylist()]
+        simple = pc.utf8_lower(pc.if_else(easy, words, pa.scalar("", words.type)))
+        lists = pc.split_pattern(pc.replace_substring_regex(simple, r"([^\p{L}\p{N}]+|\p{N})", r" \1 "), " ")
         flat, at = lists.flatten(), lists.offsets.to_numpy()
         full = pc.binary_length(flat).to_numpy() > 0
         n = np.concatenate(([0], np.cumsum(full)))[at - at[0]]
         coded = flat.filter(pa.array(full)).dictionary_encode()
-        new = coded.dictionary.filter(pa.array(self.parts.codes(coded.dictionary) < 0))
+        codes = self.parts.codes(coded.dictionary)
+        new = coded.dictionary.filter(pa.array(codes < 0))
+        codes[codes < 0] = np.arange(len(new)) + len(self.parts.keys)
         ids, lens, tokenize, table = [], [], self.model.tokenize, self.bytes
         for part in new.to_pylist():
             tokens = tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(table))
             ids += [t.id for t in tokens]
             lens.append(len(tokens))
         self.parts.add(new, np.array(ids, np.uint32), np.array(lens, np.int64))
-        ids, ends = self.parts.take(self.parts.codes(coded.dictionary)[coded.indices.to_numpy()])
-        self.words.add(words, ids, np.diff(ends[n]))
+        ids, ends = self.parts.take(codes[coded.indices.to_numpy()])
+        out = Known()
+        out.ids, out.lens = ids, np.diff(ends[n])
+        if got:  # what the library encoded goes where its words stand
+            hard = np.flatnonzero(~easy.to_numpy(zero_copy_only=False))
+            out.ids = np.insert(ids, np.repeat(ends[n[hard]], [len(g) for g in got]), np.concatenate(got))
+            out.lens[hard] = [len(g) for g in got]
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
