@@ -177,12 +177,7 @@ def links(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
             kept = [b for b in part if b not in free]
             probes.append(F.struct(F.lit(i * 100_000 + j).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(kept))).alias("key")))
     keyed = nodes.select("node", "fp", F.explode(F.array(*probes)).alias("k")).select("node", "fp", "k.part", "k.key")
-    hot = scratch.write(keyed.groupBy("part", "key").count().filter(F.col("count") > BLOCK), compact=True)
-    keyed = keyed.join(hot, ["part", "key"], "left")
-    blocks = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / F.lit(BLOCK)).cast("int")
-    keyed = keyed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = keyed.select("node", "fp", "part", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    keyed = pair_blocks(keyed, ["part", "key"], "fp", scratch).drop("own")
     order = ["part", "key", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +189,21 @@ def links(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     return keyed.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "src long, dst long")
 
 
+def pair_blocks(keyed: DataFrame, keys: list[str], by: str, scratch: Scratch, size: str | None = None, most: int = 0) -> DataFrame:
+    """Rows of a bucket beyond ``BLOCK`` rows (or a sum of ``size`` beyond ``most``) are dealt to blocks by hash of ``by`` and copied once for each other block.
+
+    Two rows of a bucket meet under one ``(*keys, lo, hi)``; ``own`` is a row's block.
+    """
+    full = F.count("*") / F.lit(BLOCK)
+    if size:
+        full = F.greatest(full, F.sum(size) / F.lit(most))
+    hot = scratch.write(keyed.groupBy(*keys).agg(F.ceil(full).cast("int").alias("blocks")).filter("blocks > 1"), compact=True)
+    keyed = keyed.join(hot, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    keyed = keyed.withColumn("own", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
+    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return keyed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
+
+
 def _span(starts: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs of each group: all of them in small groups, a spanning forest in others."""
     size = np.diff(np.append(starts, len(node)))
