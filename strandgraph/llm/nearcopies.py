@@ -74,14 +74,14 @@ def shingles(text: bytes | None) -> np.ndarray:
 
 
 def bands(found: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """A key per band of the minima of a set of shingles, and a byte of each minimum."""
+    """A key per band of the minima of a set of shingles; a byte of each minimum and four of each key."""
     low = np.full(BANDS * ROWS, ~np.uint64(0))
     for i in range(0, len(found), 1024):  # bounds memory for very long texts
         low = np.minimum(low, (_ODD[:, None] * found[None, i : i + 1024]).min(axis=1))
     key = np.arange(BANDS, dtype=np.uint64)
     for column in low.reshape(BANDS, ROWS).T:
         key = _mix(key * _PRIME + column)
-    return key, _mix(low).astype(np.uint8).tobytes()
+    return key, _mix(low).astype(np.uint8).tobytes() + key.astype("<u4").tobytes()
 
 
 def fingerprint(found: np.ndarray) -> int:
@@ -204,17 +204,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], order: list[str], rows: int) -> I
     """For each 64 rows of a block: the block, their first row and the pairs (rows of the 64, rows of the block) that are close in sketch and meet first here."""
     for table in whole_groups(batches, order, rows):
         group, band, lo, hi, own = (table.column(c).to_numpy() for c in ("class", "band", "lo", "hi", "own"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * (ROWS + 4))
+        sketch, keys = sketch[:, : BANDS * ROWS], np.ascontiguousarray(sketch[:, BANDS * ROWS :]).view("<u4")
         starts = group_starts(table, order).tolist()
         for a, z in zip(starts, [*starts[1:], table.num_rows], strict=True):
             for i in range(a, z, 64):
                 j = min(i + 64, z)
-                agree = sketch[i:j, None] == sketch[None, a:z]
-                same = (agree.sum(axis=2) >= AGREE) & (group[i:j, None] < group[None, a:z])
+                same = ((sketch[i:j, None] == sketch[None, a:z]).sum(axis=2) >= AGREE) & (group[i:j, None] < group[None, a:z])
                 if lo[a] != hi[a]:  # the blocks meet themselves elsewhere
                     same &= own[i:j, None] != own[None, a:z]
                 x, y = np.nonzero(same)
-                first = agree[x, y].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[a]
+                first = (keys[x + i] == keys[y + a]).argmax(axis=1) == band[a]
                 yield table.slice(a, z - a), i - a, x[first], y[first]
 
 
