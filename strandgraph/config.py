@@ -40,6 +40,7 @@ class Retrieval:
     top_k: int = 20
     max_experts: int | None = 5
     reflection_steps: int = 0
+    decompose: bool = False
     strict: bool = False
 
 
@@ -128,12 +129,16 @@ def save_config(config: EngineConfig, path: str | Path) -> None:
 
 
 def parse_mode(mode: str) -> dict[str, Any]:
-    """Overrides for a mode name: ``reflect-3``, ``all-experts``, ``mix-AVERAGE``, joined by ``_``."""
-    out: dict[str, dict[str, Any]] = {"retrieval": {}, "grouping": {}}
+    """Overrides for a mode name: ``reflect-3``, ``decompose``, ``all-experts``, ``batched``, ``mix-AVERAGE``, joined by ``_``."""
+    out: dict[str, dict[str, Any]] = {"construction": {}, "retrieval": {}, "grouping": {}}
     for part in mode.split("_"):
         name, _, value = part.partition("-")
         if name == "reflect":
             out["retrieval"]["reflection_steps"] = int(value)
+        elif part == "decompose":
+            out["retrieval"]["decompose"] = True
+        elif part == "batched":
+            out["construction"]["batched"] = True
         elif part == "all-experts":
             out["retrieval"]["max_experts"] = None
         elif name == "mix":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from strandgraph.functions.text import parse_record
 from strandgraph.hooks import Encoder, Model, ask, encode, prompt
 from strandgraph.operators import experts, extract, hubs, memberships
 from strandgraph.operators.content import embeddable, entity_content
+from strandgraph.sources.tables import exists, log
 from strandgraph.storage import Scratch
+from strandgraph.streaming.incremental import progress
 
 
 def extract_records(chunks: DataFrame, model: Model, template: str = "{schema}\n{chunk}", ontology: str = "") -> DataFrame:
@@ -23,6 +27,21 @@ def extract_records(chunks: DataFrame, model: Model, template: str = "{schema}\n
     return replies.select(F.col("id").alias("chunk_id"), parse_record(F.col("reply")).alias("r")).select("chunk_id", "r.*")
 
 
+def batched_records(chunks: DataFrame, model: Model, template: str, checkpoint: str, size: int) -> DataFrame:
+    """Extraction records of all chunks, about ``size`` chunks a batch; a batch is written under its number and only extracted where that is missing."""
+    spark = chunks.sparkSession
+    batches = max(1, math.ceil(chunks.count() / size))
+    placed = chunks.withColumn("batch", F.pmod(F.xxhash64("chunk_id"), F.lit(batches)))
+    done = []
+    for b in range(batches):
+        path = f"{checkpoint}/of={batches}/batch={b}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            extract_records(placed.filter(F.col("batch") == b).drop("batch"), model, template).write.mode("overwrite").parquet(path)
+        done.append(b)
+        log.info("extraction: %s", progress(batches, done, size))
+    return spark.read.parquet(*[f"{checkpoint}/of={batches}/batch={b}" for b in range(batches)])
+
+
 def build_graph(records: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """Records -> merged ``nodes`` and ``edges``.
 
@@ -56,7 +75,8 @@ def build_groups(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, setting
     inner = edges.join(entities.select(F.col("node_id").alias("src")), "src", "left_semi").join(entities.select(F.col("node_id").alias("dst")), "dst", "left_semi")
     semantic = hubs.semantic_hub(entities, settings.hub_percentile)
     structural = hubs.structural_hub(entities, inner, hubs.StructuralMix[settings.structural_mix], settings.hub_percentile)
-    known = entities.filter("embedding is not null")
+    scratch = Scratch(nodes.sparkSession)
+    known = scratch.write(entities.filter("embedding is not null").select("node_id", "embedding"))  # read again in every round
     seeds = experts.seed_centroids(known, settings.clusters)
     found = known.select(F.lit("").alias("subgraph_id"), "node_id").limit(0)
     if len(seeds):
@@ -65,12 +85,20 @@ def build_groups(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, setting
     return memberships.all_groups(semantic, structural, found, entities)
 
 
-def from_corpus(docs: DataFrame, dataset: str, model: Model, encoder: Encoder, config: EngineConfig = EngineConfig()) -> dict[str, DataFrame]:
-    """``docs(doc_id, title, text)`` -> chunks, nodes, edges, vectors and groups, each written once."""
+def from_corpus(docs: DataFrame, dataset: str, model: Model, encoder: Encoder, config: EngineConfig = EngineConfig(), checkpoint: str | None = None) -> dict[str, DataFrame]:
+    """``docs(doc_id, title, text)`` -> chunks, nodes, edges, vectors and groups, each written once.
+
+    With ``batched`` set, records are extracted batch by batch under
+    ``checkpoint``, and batches that are there are not extracted again.  Groups
+    are also nodes of the graph, with ``contains`` edges to their members.
+    """
     scratch = Scratch(docs.sparkSession)
     chunks = scratch.write(extract.chunk(docs, dataset in config.construction.whole_documents, config.construction.first_line_only))
-    nodes, edges = build_graph(extract_records(chunks, model, config.prompts.get("construction", "{schema}\n{chunk}")))
+    template = config.prompts.get("construction", "{schema}\n{chunk}")
+    records = batched_records(chunks, model, template, checkpoint, config.construction.batch_size) if config.construction.batched and checkpoint else extract_records(chunks, model, template)
+    nodes, edges = build_graph(records)
     nodes, edges = scratch.write(nodes), scratch.write(edges)
     vectors = scratch.write(embed_entities(nodes, edges, chunks, encoder))
     groups = scratch.write(build_groups(nodes, edges, vectors, config.grouping))
-    return {"chunks": chunks, "nodes": nodes, "edges": edges, "vectors": vectors, "groups": groups}
+    supers = memberships.super_nodes(groups)
+    return {"chunks": chunks, "nodes": nodes.unionByName(supers, allowMissingColumns=True), "edges": edges.unionByName(memberships.contains_edges(groups).withColumn("ekey", F.lit(0)).select(*edges.columns)), "vectors": vectors, "groups": groups}

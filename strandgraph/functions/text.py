@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,8 +51,8 @@ def nodes_hash(ids: Column) -> Column:
 
 
 def short_id(text: Column, salt: Column | str = "") -> Column:
-    """An eight-character id made from content, the same at every run."""
-    return F.substring(F.sha2(F.concat_ws("|", F.lit(salt) if isinstance(salt, str) else salt, text), 256), 1, 8)
+    """An id made from content, the same at every run: 128 bits, so that no two of 10^12 texts share one."""
+    return F.substring(F.sha2(F.concat_ws("|", F.lit(salt) if isinstance(salt, str) else salt, text), 256), 1, 32)
 
 
 def _repaired(text: str | None) -> str | None:
@@ -102,6 +103,14 @@ def parse_record(reply: Column, repair: bool = True) -> Column:
     return F.from_json(repair_json(text) if repair else text, RECORD)
 
 
-def content_hash(*parts: Column) -> Column:
-    """A stable 64-bit hash."""
-    return F.xxhash64(*parts)
+def plain(value: object) -> object:
+    """A value that JSON can hold: arrays, sets and scalars of numeric libraries as lists and numbers, anything unknown as its text."""
+    if isinstance(value, dict):
+        return {k if isinstance(k := plain(key), (str, int, float, bool)) or k is None else str(k): plain(v) for key, v in value.items()}
+    if isinstance(value, (set, frozenset)):
+        return sorted((plain(v) for v in value), key=repr)
+    if isinstance(value, (list, tuple, np.ndarray)):
+        return [plain(v) for v in value]
+    if isinstance(value, np.generic):
+        return value.item()
+    return value if value is None or isinstance(value, (str, bool, int, float)) else str(value)

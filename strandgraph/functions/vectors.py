@@ -18,7 +18,8 @@ def norm(a: Column) -> Column:
 
 def normalise(a: Column, eps: float = 0.0) -> Column:
     """The vector over its length (plus ``eps``)."""
-    return F.transform(a, lambda x: x.cast("double") / (norm(a) + eps))
+    # the length is bound once; inside the inner lambda it would be computed again for every component
+    return F.transform(F.array(norm(a) + eps), lambda n: F.transform(a, lambda x: x.cast("double") / n))[0]
 
 
 def cosine(a: Column, b: Column, eps: float = 0.0) -> Column:

@@ -80,10 +80,14 @@ def _one(encoder: Encoder, text: str) -> list[float] | None:
         return None
 
 
+#: What an overloaded service says.
+RATE_LIMITS = ["rate limit", "429", "tpm", "too many requests", "quota exceeded", "limit exceeded"]
+
+
 def is_rate_limit(error: str) -> bool:
     """Whether an error message speaks of too many requests."""
     low = error.lower()
-    return any(s in low for s in ("rate limit", "rate_limit", "429", "too many requests", "quota"))
+    return any(s in low for s in RATE_LIMITS)
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ from strandgraph.operators.graph import successors
 
 _NODE = "struct<node_id:string,name:string,label:string,level:int,chunk_id:string>"
 #: Columns under which a chunk id or a text may be found, in order.
-CHUNK_ID_NAMES = ["chunk_id", "chunk id", "source_id", "chunkId", "source"]
+CHUNK_ID_NAMES = ["chunk_id", "chunk id", "chunkId", "id", "source_id"]
 CONTENT_NAMES = ["name", "description", "title", "content", "summary"]
 
 
@@ -104,6 +104,11 @@ def is_valid_text(text: Column) -> Column:
     return (F.length(F.trim(text)) >= 3) & ~F.lower(F.trim(text)).isin("none", "null", "nan", "none, none")
 
 
+def with_vectors(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Nodes that have a vector in ``vectors(node_id, embedding)``, with it."""
+    return nodes.drop("embedding").join(vectors.filter("embedding is not null").select("node_id", "embedding"), "node_id")
+
+
 def members_by_name(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(subgraph_id, names)``, sorted."""
     return groups.join(nodes.select("node_id", "name"), "node_id").groupBy("subgraph_id").agg(F.sort_array(F.collect_list("name")).alias("names"))
@@ -151,6 +156,27 @@ def relevant_triples(queries: DataFrame, edges: DataFrame, entities: DataFrame,
     return _similar(queries, _triple_vectors(rows, entities)).filter(F.col("score") >= least).select("query_id", "src", "relation", "dst", "score")
 
 
+def group_vectors(groups: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(id, embedding)``: the mean of the unit vectors of each group's members."""
+    unit = entities.filter("embedding is not null").select("node_id", normalise(F.col("embedding"), 1e-12).alias("e"))
+    parts = groups.select("subgraph_id", "node_id").join(unit, "node_id").select(F.col("subgraph_id").alias("id"), F.posexplode("e").alias("i", "x"))
+    means = parts.groupBy("id", "i").agg(F.avg("x").alias("m"))
+    return means.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
+
+
+def dual_path(queries: DataFrame, edges: DataFrame, entities: DataFrame, groups: DataFrame, hits: DataFrame, least: float = 0.1) -> DataFrame:
+    """``(query_id, node_id, paths, score)``: nodes of relevant triples and members of the groups hit, with their cosine.
+
+    ``hits(query_id, id)`` are the groups whose vectors are nearest.
+    """
+    ends = relevant_triples(queries, edges, entities, least).select("query_id", F.explode(F.array("src", "dst")).alias("node_id"), F.lit("triple").alias("path"))
+    inside = hits.select("query_id", F.col("id").alias("subgraph_id")).join(groups, "subgraph_id").select("query_id", "node_id", F.lit("group").alias("path"))
+    found = ends.unionByName(inside).groupBy("query_id", "node_id").agg(F.array_join(F.sort_array(F.collect_set("path")), "+").alias("paths"))
+    unit = entities.filter("embedding is not null").select("node_id", normalise(F.col("embedding"), 1e-12).alias("e"))
+    q = queries.withColumn("qvec", normalise(F.col("qvec"), 1e-12))
+    return found.join(unit, "node_id").join(q, "query_id").select("query_id", "node_id", "paths", F.round(dot(F.col("e"), F.col("qvec")), 6).alias("score"))
+
+
 def all_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """``(query_id, id, score)`` of the stated queries with every vector."""
     q = queries.withColumn("qvec", normalise(F.col("qvec"), 1e-12))

@@ -21,7 +21,8 @@ def _memberships(x: np.ndarray, c: np.ndarray, m: float = FUZZY) -> np.ndarray:
 
 
 def _rows(batch: pa.RecordBatch, column: str = "embedding") -> np.ndarray:
-    return np.array(batch.column(column).to_pylist(), np.float64)
+    values = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(batch.num_rows, -1) if batch.num_rows else values.reshape(0, 0)
 
 
 def seed_centroids(vectors: DataFrame, k: int = CLUSTERS, seed: int = 0) -> np.ndarray:
@@ -52,36 +53,54 @@ def seed_centroids(vectors: DataFrame, k: int = CLUSTERS, seed: int = 0) -> np.n
     return np.array(chosen)
 
 
-def fcm_step(vectors: DataFrame, centroids: np.ndarray, m: float = FUZZY) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of u^m x and of u^m per cluster: every task emits one partial sum per cluster, summed before the driver sees K rows."""
+def fcm_step(vectors: DataFrame, centroids: np.ndarray, m: float = FUZZY, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sums of u^m x and of u^m per cluster, and how far memberships are from those of the centroids ``before``.
+
+    Every task emits one partial sum per cluster, summed before the driver sees K rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = np.zeros_like(centroids), np.zeros(len(centroids))
+        total, weight, change = np.zeros_like(centroids), np.zeros(len(centroids)), np.zeros(len(centroids))
         for b in batches:
             x = _rows(b)
             if len(x):
-                um = _memberships(x, centroids, m) ** m
+                u = _memberships(x, centroids, m)
+                um = u**m
                 total += um.T @ x
                 weight += um.sum(axis=0)
+                if before is not None:
+                    change += ((u - _memberships(x, before, m)) ** 2).sum(axis=0)
         k, d = total.shape
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(k), d + 1), pa.int32()), pa.array(np.tile(np.arange(d + 1), k), pa.int32()), pa.array(np.column_stack([total, weight]).ravel())], ["k", "i", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(k), d + 2), pa.int32()), pa.array(np.tile(np.arange(d + 2), k), pa.int32()), pa.array(np.column_stack([total, weight, change]).ravel())], ["k", "i", "v"])
 
     rows = vectors.select("embedding").mapInArrow(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros((centroids.shape[0], centroids.shape[1] + 1))
+    out = np.zeros((centroids.shape[0], centroids.shape[1] + 2))
     out[rows["k"], rows["i"]] = rows["v"]
-    return out[:, :-1], out[:, -1]
+    return out[:, :-2], out[:, -2], float(np.sqrt(out[:, -1].sum())) if before is not None else float("inf")
+
+
+def _any_row(vectors: DataFrame, seed: int) -> np.ndarray:
+    """The unit vector of a row picked by a seeded hash."""
+    x = np.array(vectors.orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id").select("embedding").first()[0], np.float64)
+    return x / max(np.linalg.norm(x), 1e-12)
 
 
 def fuzzy_c_means(vectors: DataFrame, centroids: np.ndarray, m: float = FUZZY, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Centroids (unit rows) after at most ``rounds`` rounds or until they move less than ``tolerance``."""
-    for _ in range(rounds):
-        total, weight = fcm_step(vectors, centroids, m)
-        new = total / np.maximum(weight, 1e-12)[:, None]
+    """Centroids (unit rows) after at most ``rounds`` rounds or until they and all memberships change less than ``tolerance``.
+
+    A cluster without weight or direction goes on from a row picked by hash.
+    """
+    before = None
+    for r in range(rounds):
+        total, weight, change = fcm_step(vectors, centroids, m, before)
+        new = total / np.maximum(weight, LEAST)[:, None]
         size = np.linalg.norm(new, axis=1)
-        new = np.where(size[:, None] > 1e-12, new / np.maximum(size, 1e-12)[:, None], centroids)
+        new = new / np.maximum(size, LEAST)[:, None]
+        for k in np.flatnonzero((weight <= LEAST) | (size <= LEAST)).tolist():
+            new[k] = _any_row(vectors, r * len(new) + k)
         moved = np.linalg.norm(new - centroids)
-        centroids = new
-        if moved < tolerance:
+        before, centroids = centroids, new
+        if moved < tolerance and change < tolerance:
             break
     return centroids
 
@@ -101,9 +120,9 @@ def memberships(vectors: DataFrame, centroids: np.ndarray, m: float = FUZZY) ->
 
 
 def adaptive_threshold(u: DataFrame) -> float:
-    """The lowest of 0.05, 0.10 .. that covers 70 percent of the nodes, else the best one; 0.1 if nothing is covered."""
+    """The lowest of 20 even steps from 0.05 to 0.5 that covers 70 percent of the nodes, else the best one; 0.1 if nothing is covered."""
     top = u.groupBy("node_id").agg(F.max("u").alias("u"))
-    limits = [round(FLOOR * i, 2) for i in range(1, 20)]
+    limits = np.linspace(FLOOR, 0.5, 20).tolist()
     row = top.agg(F.count("*").alias("n"), *[F.count_if(F.col("u") > t).alias(f"c{i}") for i, t in enumerate(limits)]).first()
     cover = [row[f"c{i}"] / row["n"] if row["n"] else 0.0 for i in range(len(limits))]
     good = next((t for t, c in zip(limits, cover, strict=True) if c >= 0.7), None)

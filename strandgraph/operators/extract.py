@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from strandgraph.functions.text import short_id
 
-#: Levels of node labels; other labels are level 2.
-LEVELS = {"attribute": 1, "entity": 2, "keyword": 3, "subgraph": 4, "shared_subgraph": 4, "expert_subgraph": 4}
+#: Levels of node labels; other labels are level 2.
+LEVELS = {"attribute": 1, "entity": 2, "keyword": 3, "subGraph": 4, "shared_subGraph": 4, "expert_subGraph": 4}
 
 
 def level_of(label: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.operators.components import components
@@ -131,13 +131,17 @@ def ego_sets(edges: DataFrame, hubs: DataFrame) -> DataFrame:
     return near.unionByName(h.select("hub", F.col("hub").alias("node_id"))).distinct()
 
 
-def merge_sets(sets: DataFrame) -> DataFrame:
-    """``sets(hub, node_id)`` -> ``(group_id, node_id)``: sets that share a node become one group, named by its smallest hub."""
-    # a set and its nodes are linked in a bipartite graph, so no pairs of sets are made
-    hubs = sets.select("hub").distinct().withColumn("h", F.xxhash64(F.lit("set"), "hub"))
-    ends = sets.join(hubs, "hub").select("h", F.xxhash64(F.lit("node"), "node_id").alias("x"))
-    found = components(ends.select(F.col("h").alias("src"), F.col("x").alias("dst")))
-    comp = hubs.join(found, hubs["h"] == found["node"], "left").select("hub", F.coalesce("component", "h").alias("c"))
+def merge_sets(sets: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """``sets(hub, node_id)`` -> ``(group_id, node_id)``: sets that share a node, or are linked by one of ``edges``, become one group, named by its smallest hub."""
+    # a set is linked with its nodes and an edge's ends with each other, so no pairs of sets are made
+    links = sets.select(F.concat(F.lit("set|"), "hub").alias("src"), F.concat(F.lit("node|"), "node_id").alias("dst"))
+    if edges is not None:
+        member = sets.select("node_id").distinct()
+        inner = edges.select("src", "dst").distinct().join(member.withColumnRenamed("node_id", "src"), "src", "left_semi").join(member.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+        links = links.unionByName(inner.select(*[F.concat(F.lit("node|"), c).alias(c) for c in ("src", "dst")]))
+    found = components(links)
+    hubs = sets.select("hub").distinct().withColumn("node", F.concat(F.lit("set|"), "hub"))
+    comp = hubs.join(found, "node", "left").select("hub", F.coalesce("component", "node").alias("c"))
     named = comp.join(comp.groupBy("c").agg(F.min("hub").alias("group_id")), "c").select("hub", "group_id")
     return sets.join(named, "hub").select("group_id", "node_id").distinct()
 
@@ -146,8 +150,3 @@ def largest_group(groups: DataFrame) -> DataFrame:
     """The members of the largest group (ties: the smallest name)."""
     top = groups.groupBy("group_id").count().orderBy(F.desc("count"), "group_id").limit(1).select("group_id")
     return groups.join(F.broadcast(top), "group_id", "left_semi")  # one row
-
-
-def numbered_relations(edges: DataFrame) -> DataFrame:
-    """Parallel edges with ``ekey`` from 0 in order of ``seq``."""
-    return edges.withColumn("ekey", F.row_number().over(Window.partitionBy("src", "dst").orderBy("seq")) - 1)

@@ -66,9 +66,13 @@ def structural_hub(ids: DataFrame, edges: DataFrame, mix: StructuralMix = Struct
     return over_percentile(structural_centrality(ids, edges, mix), percent)
 
 
-def hub_profile(hub: DataFrame, nodes: DataFrame, sample: int = 50) -> DataFrame:
-    """One row: size, coverage and a sample of member ids by hash."""
-    n = nodes.count()
-    size = hub.count()
-    names = hub.select("node_id").orderBy(F.xxhash64("node_id"), "node_id").limit(sample)
-    return names.agg(F.sort_array(F.collect_list("node_id")).alias("sample")).select(F.lit(size).cast("long").alias("size"), F.lit(size / max(n, 1)).alias("coverage"), "sample")
+def hub_profile(hub: DataFrame, nodes: DataFrame, kind: str = "semantic", sample: int = 50, named: int = 5) -> DataFrame:
+    """One row: size, coverage, a sample of member ids by hash, a description with names of the first of them, and the members' mean vector over its length."""
+    n, size = nodes.count(), hub.count()
+    members = hub.select("node_id").join(nodes, "node_id")
+    few = members.select("node_id", "name", F.md5("node_id").alias("h")).orderBy("h", "node_id").limit(sample)
+    listed = F.array_sort(F.collect_list(F.struct("h", "node_id", "name")))
+    picked = few.agg(F.transform(listed, lambda r: r["node_id"]).alias("sample"), F.array_join(F.slice(F.transform(listed, lambda r: r["name"]), 1, named), ", ").alias("names"))
+    what = F.concat(F.lit(f"{kind.capitalize()} hub of {size} nodes, among them "), "names")
+    mean = mean_vector(members.filter("embedding is not null").select("embedding")) if size else []
+    return picked.select(F.lit(size).cast("long").alias("size"), F.lit(size / max(n, 1)).alias("coverage"), "sample", F.when(F.col("names") != "", what).otherwise(f"Empty {kind} hub").alias("description"), literal(mean).cast("array<double>").alias("embedding"))

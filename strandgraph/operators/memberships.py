@@ -26,7 +26,7 @@ def of_nodes(groups: DataFrame) -> DataFrame:
 
 def super_nodes(groups: DataFrame) -> DataFrame:
     """A level-4 node per group."""
-    return groups.select("subgraph_id", "kind").distinct().select(F.col("subgraph_id").alias("node_id"), F.col("subgraph_id").alias("name"), F.concat("kind", F.lit("_subgraph")).alias("label"), F.lit(4).alias("level"))
+    return groups.select("subgraph_id", "kind").distinct().select(F.col("subgraph_id").alias("node_id"), F.col("subgraph_id").alias("name"), F.concat("kind", F.lit("_subGraph")).alias("label"), F.lit(4).alias("level"))
 
 
 def contains_edges(groups: DataFrame) -> DataFrame:
@@ -48,16 +48,25 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 def keyword_links(keywords: DataFrame, groups: DataFrame) -> DataFrame:
     """``(keyword, subgraph_id)`` where either name is part of the other, regardless of case.
 
-    Either string contains the other, so both hold the shorter one whole: pairs
-    meet in buckets of its character trigrams (its whole text if shorter).
+    The part's last three characters (all, if it has fewer) stand somewhere in
+    the whole: pairs meet there, in either direction.
     """
-    def grams(text: Column) -> Column:
-        low = F.lower(text)
-        return F.when(F.length(low) < 3, F.array(low)).otherwise(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
-
-    k = keywords.select("keyword", F.explode(F.array_distinct(grams(F.col("keyword")))).alias("g"))
-    s = groups.select("subgraph_id").distinct()
-    s = s.select("subgraph_id", F.explode(F.array_distinct(grams(F.col("subgraph_id")))).alias("g"))
-    both = k.join(s, "g").select("keyword", "subgraph_id").distinct()
+
+    def end(text: Column) -> Column:
+        return F.array(F.right(F.lower(text), F.lit(3)))
+
+    def grams(text: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(F.lower(text), i, F.lit(n)))
+
+    def inside(text: Column) -> Column:
+        every = F.concat(*[grams(text, n) for n in (1, 2, 3)])
+        return F.array_distinct(F.when(F.length(text) > 0, every).otherwise(F.array().cast("array<string>")))
+
+    names = groups.select("subgraph_id").distinct()
+    pairs = []
+    for of_k, of_s in ((end, inside), (inside, end)):
+        k = keywords.select("keyword", F.explode(of_k(F.col("keyword"))).alias("g"))
+        pairs.append(k.join(names.select("subgraph_id", F.explode(of_s(F.col("subgraph_id"))).alias("g")), "g"))
+    both = pairs[0].unionByName(pairs[1]).select("keyword", "subgraph_id").distinct()
     a, b = F.lower("keyword"), F.lower("subgraph_id")
     return both.filter(F.contains(a, b) | F.contains(b, a))

@@ -7,16 +7,23 @@ would have produced them.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.functions.vectors import dot, l2_squared, normalise
+from strandgraph.hooks import Encoder, encode
 from strandgraph.operators.graph import successors, triple_texts
 from strandgraph.storage import Scratch
 
 #: Hits per search, experts that are activated at most.
 TOP_K, MAX_EXPERTS = 20, 5
 _DIGITS = 6
+#: Rows of queries with their groups that are broadcast at most, and parts that a group is split into beyond that.
+BROADCAST, SALT = 20_000, 32
+#: Room for the records of a hit, and of a search by entities, in ``seq``.
+_HIT, _SEARCH = 1 << 40, 1 << 60
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, by: list[str] | None = None, metric: str = "ip") -> DataFrame:
@@ -38,24 +45,36 @@ def top_k_routed(queries: DataFrame, vectors: DataFrame, active: DataFrame, k: i
     """As ``top_k`` by ``subgraph_id``, but a query only meets vectors of its ``active(query_id, subgraph_id)`` groups."""
     unit = vectors.withColumn("unit", normalise(F.col("embedding"), 1e-12)).drop("embedding")
     q = active.join(queries.withColumn("qvec", normalise(F.col("qvec"), 1e-12)), "query_id")
-    pairs = unit.join(q, "subgraph_id").select("query_id", "subgraph_id", "id", F.round(dot(F.col("qvec"), F.col("unit")), _DIGITS).alias("score"))
+    if active.count() <= BROADCAST:
+        pairs = unit.join(F.broadcast(q), "subgraph_id")
+    else:  # a group may hold most vectors
+        unit = unit.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALT)))
+        pairs = unit.join(q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))), ["subgraph_id", "part"])
+    pairs = pairs.select("query_id", "subgraph_id", "id", F.round(dot(F.col("qvec"), F.col("unit")), _DIGITS).alias("score"))
     w = Window.partitionBy("query_id", "subgraph_id").orderBy(F.desc("score"), "id")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def expand(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Entity records: each hit's successors, then the hit itself, ``(query_id, subgraph_id, entity_id, chunk_id, similarity, src, relation, dst, path, seq)``."""
-    near = hits.join(successors(edges), hits["id"] == F.col("src"))
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "subgraph_id", "rank").orderBy("dst")))
-    near = near.select("query_id", "subgraph_id", F.col("dst").alias("entity_id"), F.lit(None).cast("double").alias("similarity"), "src", "relation", "dst", F.lit("neighbour").alias("path"), (F.col("rank") * 1_000_000 + F.col("place")).alias("seq"))
-    own = hits.select("query_id", "subgraph_id", F.col("id").alias("entity_id"), F.col("score").alias("similarity"), *[F.lit(None).cast("string").alias(c) for c in ("src", "relation", "dst")], F.lit("entity").alias("path"), (F.col("rank") * 1_000_000 + 999_999).alias("seq"))
+def expand(hits: DataFrame, nodes: DataFrame, near: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Entity records: each hit's successors, then the hit itself, ``(query_id, subgraph_id, entity_id, chunk_id, similarity, src, relation, dst, path, seq)``.
+
+    ``near`` is ``graph.successors`` of the edges and ``vectors(src, relation,
+    dst, embedding)`` those of triples.  A successor's similarity is its
+    triple's with the query, 0 where the triple has no vector; a hit's is its score.
+    """
+    key = ["src", "relation", "dst"]
+    rows = hits.join(near, hits["id"] == F.col("src")).join(vectors, key, "left").join(queries, "query_id")
+    likeness = F.coalesce(F.round(dot(normalise(F.col("qvec"), 1e-12), normalise(F.col("embedding"), 1e-12)), _DIGITS), F.lit(0.0))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "subgraph_id", "rank").orderBy("dst")))
+    rows = rows.select("query_id", "subgraph_id", F.col("dst").alias("entity_id"), likeness.alias("similarity"), *key, F.lit("neighbour").alias("path"), (F.col("rank") * _HIT + F.col("place")).alias("seq"))
+    own = hits.select("query_id", "subgraph_id", F.col("id").alias("entity_id"), F.col("score").alias("similarity"), *[F.lit(None).cast("string").alias(c) for c in key], F.lit("entity").alias("path"), (F.col("rank") * _HIT + (_HIT - 1)).alias("seq"))
     chunks = nodes.select(F.col("node_id").alias("entity_id"), "chunk_id")
-    return near.unionByName(own).join(chunks, "entity_id").filter("path <> 'entity' or chunk_id is not null")
+    return rows.unionByName(own).join(chunks, "entity_id").filter("path <> 'entity' or chunk_id is not null")
 
 
 def triple_ends(hits: DataFrame, triples: DataFrame, nodes: DataFrame) -> DataFrame:
     """Entity records of triple hits: both ends, each entity where it is first seen."""
-    rows = hits.join(triples, hits["id"] == triples["triple_id"]).select("query_id", "subgraph_id", "rank", F.col("score").alias("similarity"), "src", "relation", "dst", F.posexplode(F.array("src", "dst")).alias("end", "entity_id"))
+    rows = hits.join(triples.drop("embedding"), hits["id"] == triples["triple_id"]).select("query_id", "subgraph_id", "rank", F.col("score").alias("similarity"), "src", "relation", "dst", F.posexplode(F.array("src", "dst")).alias("end", "entity_id"))
     rows = rows.withColumn("seq", F.col("rank") * 2 + F.col("end"))
     cols = ["similarity", "src", "relation", "dst", "seq"]
     first = rows.groupBy("query_id", "subgraph_id", "entity_id").agg(F.min_by(F.struct(*cols), "seq").alias("r")).select("query_id", "subgraph_id", "entity_id", "r.*")
@@ -76,21 +95,39 @@ def first_chunks(records: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "chunk_id").agg(F.min_by("path", F.struct("seq", "entity_id")).alias("path"), F.min("seq").alias("seq"))
 
 
-def triple_vectors(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(src, dst, relation, triple_id)``, and ``(triple_id, src, embedding)``: the mean of both ends' vectors."""
-    units = nodes.filter("embedding is not null").select("node_id", "embedding")
+def triple_vectors(nodes: DataFrame, edges: DataFrame, encoder: Encoder | None = None) -> DataFrame:
+    """``(triple_id, src, relation, dst, embedding)``: the encoded text ``head relation tail``, or without an encoder the mean of both ends' vectors."""
     triples = edges.select("src", "dst", "relation").distinct().withColumn("triple_id", F.concat_ws("|", "src", "relation", "dst"))
+    if encoder is not None:
+        texts = triple_texts(nodes, triples).select(F.concat_ws("|", "src", "relation", "dst").alias("id"), "text")
+        return triples.join(encode(texts, encoder).withColumnRenamed("id", "triple_id"), "triple_id")
+    units = nodes.filter("embedding is not null").select("node_id", "embedding")
     vec = triples.join(units.select(F.col("node_id").alias("src"), F.col("embedding").alias("a")), "src").join(units.select(F.col("node_id").alias("dst"), F.col("embedding").alias("b")), "dst")
-    return triples, vec.select("triple_id", "src", F.zip_with("a", "b", lambda x, y: (x.cast("double") + y) / 2).alias("embedding"))
+    return vec.select("triple_id", "src", "relation", "dst", F.zip_with("a", "b", lambda x, y: (x.cast("double") + y) / 2).alias("embedding"))
+
+
+class Index(NamedTuple):
+    """What every search reads: nodes, successors, vectors of triples, and vectors by group of entities and of triples."""
+
+    nodes: DataFrame
+    near: DataFrame
+    triples: DataFrame
+    entities: DataFrame
+    inside: DataFrame
+
+
+def index(nodes: DataFrame, edges: DataFrame, groups: DataFrame, scratch: Scratch, encoder: Encoder | None = None) -> Index:
+    """The search tables, each written once."""
+    triples = scratch.write(triple_vectors(nodes, edges, encoder))
+    entities = groups.select("subgraph_id", "node_id").join(nodes.filter("embedding is not null").select("node_id", "embedding"), "node_id").withColumnRenamed("node_id", "id")
+    inside = groups.select("subgraph_id", F.col("node_id").alias("src")).join(triples, "src").select("subgraph_id", F.col("triple_id").alias("id"), "embedding")
+    return Index(scratch.write(nodes.select("node_id", "chunk_id")), scratch.write(successors(edges)), triples, scratch.write(entities), scratch.write(inside))
 
 
-def group_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, groups: DataFrame, active: DataFrame, k: int = TOP_K) -> DataFrame:
+def group_search(queries: DataFrame, found: Index, active: DataFrame, k: int = TOP_K) -> DataFrame:
     """Both paths in each active group: entity records, last one per entity."""
-    vectors = groups.select("subgraph_id", "node_id").join(nodes.filter("embedding is not null").select("node_id", "embedding"), "node_id").withColumnRenamed("node_id", "id")
-    by_entity = expand(top_k_routed(queries, vectors, active, k), nodes, edges)
-    triples, vec = triple_vectors(nodes, edges)
-    inside = groups.select("subgraph_id", F.col("node_id").alias("src")).join(vec, "src").select("subgraph_id", F.col("triple_id").alias("id"), "embedding")
-    by_triple = triple_ends(top_k_routed(queries, inside, active, k), triples, nodes).withColumn("seq", F.col("seq") + 1_000_000_000)
+    by_entity = expand(top_k_routed(queries, found.entities, active, k), found.nodes, found.near, queries, found.triples.drop("triple_id"))
+    by_triple = triple_ends(top_k_routed(queries, found.inside, active, k), found.triples, found.nodes).withColumn("seq", F.col("seq") + _SEARCH)
     return last_wins(by_entity.unionByName(by_triple))
 
 
@@ -139,20 +176,22 @@ def fuse_triples(records: DataFrame, k: int = TOP_K) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, groups: DataFrame, k: int = TOP_K, limit: int | None = MAX_EXPERTS) -> tuple[DataFrame, DataFrame]:
+def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, groups: DataFrame, k: int = TOP_K, limit: int | None = MAX_EXPERTS, encoder: Encoder | None = None) -> tuple[DataFrame, DataFrame]:
     """Four phases: hubs, routing, experts, and a second routing by the entities that are new since.
 
     Returns all entity records and the activated ``(query_id, subgraph_id)``.
     """
     scratch = Scratch(queries.sparkSession)
+    found, queries = index(nodes, edges, groups, scratch, encoder), scratch.write(queries)
     hubs = groups.filter("kind = 'shared'").select("subgraph_id").distinct()
-    active = queries.select("query_id").crossJoin(hubs)  # three groups
-    first = scratch.write(group_search(queries, nodes, edges, groups, active, k))
-    one = scratch.write(route(first, groups, limit).select("query_id", "subgraph_id"))
-    second = scratch.write(group_search(queries, nodes, edges, groups, one, k))
+    active = scratch.write(queries.select("query_id").crossJoin(hubs), compact=True)  # three groups
+    first = scratch.write(group_search(queries, found, active, k), compact=True)
+    one = scratch.write(route(first, groups, limit).select("query_id", "subgraph_id"), compact=True)
+    second = scratch.write(group_search(queries, found, one, k), compact=True)
     new = second.join(first.select("query_id", "entity_id").distinct(), ["query_id", "entity_id"], "left_anti")
-    two = scratch.write(route(new, groups, limit).select("query_id", "subgraph_id").join(one, ["query_id", "subgraph_id"], "left_anti"))
-    third = group_search(queries, nodes, edges, groups, two, k)
+    two = scratch.write(route(new, groups, limit).select("query_id", "subgraph_id").join(one, ["query_id", "subgraph_id"], "left_anti"), compact=True)
+    third = scratch.write(group_search(queries, found, two, k), compact=True)
+    scratch.keep_only(first, second, third, one, two)
     return first.unionByName(second).unionByName(third), one.unionByName(two)
 
 

@@ -1,8 +1,9 @@
 """The test graph that the registered queries run on, derived from the test tables.
 
 Entities come from ``embeddings`` (chunk: document ``vec_id % documents``),
-attributes from their labels, relations from a twentieth of ``lineitem``'s
-orders, which is the graph's definition and no sample of an input.
+attributes from their labels, relations from all rows of ``lineitem``.  Queries
+are the vectors whose id is divisible by 100.  A triple's vector is the mean of
+its ends', so that SQL can follow.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from strandgraph.operators import experts, extract, hubs, memberships
 
-#: Clusters of the one-step fuzzy clustering, and queries.
-K, QUERIES = 50, 5
+#: Clusters of the one-step fuzzy clustering.
+K = 50
 
 
 class Fixture:
@@ -39,7 +40,7 @@ class Fixture:
     @cached_property
     def raw(self) -> DataFrame:
         """Relation rows with ``seq`` in their order; numbers rise over sorted partitions."""
-        li = self.table("lineitem").filter("l_orderkey % 20 = 0")
+        li = self.table("lineitem")
         order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
         li = li.select(*order).orderBy(*order).withColumn("seq", F.monotonically_increasing_id())
         return li.select(
@@ -86,7 +87,7 @@ class Fixture:
 
     @cached_property
     def queries(self) -> DataFrame:
-        return self.table("embeddings").filter(f"vec_id < {QUERIES}").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+        return self.table("embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
     @cached_property
     def semantic(self) -> DataFrame:
@@ -117,6 +118,20 @@ class Fixture:
         vec = self.entities.join(self.semantic.select("node_id"), "node_id").select(F.lit("Shared_Semantic").alias("subgraph_id"), F.col("node_id").alias("id"), "embedding")
         return top_k(self.queries, vec, by=["subgraph_id"])
 
+    @cached_property
+    def triples(self) -> DataFrame:
+        from strandgraph.operators.retrieval import triple_vectors
+
+        return triple_vectors(self.nodes, self.edges)
+
+    @cached_property
+    def expanded(self) -> DataFrame:
+        """Entity records of the hits."""
+        from strandgraph.operators.graph import successors
+        from strandgraph.operators.retrieval import expand
+
+        return expand(self.hits, self.nodes, successors(self.all_edges), self.queries, self.triples.drop("triple_id"))
+
     @cached_property
     def records(self) -> DataFrame:
         """JSON replies with an extraction record per document: its mentions of the graph."""
@@ -140,7 +155,7 @@ WITH nc AS (SELECT (SELECT count(*) FROM embeddings) AS n, (SELECT count(*) FROM
 raw AS (SELECT 'entity_' || (l_partkey % n) AS src, 'entity_' || ((l_suppkey * 31 + l_linenumber * 17 + l_orderkey) % n) AS dst,
   'rel_' || l_returnflag || l_linestatus AS relation, 'c' || (l_orderkey % d) AS chunk,
   row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS seq
-  FROM lineitem, nc WHERE l_orderkey % 20 = 0),
+  FROM lineitem, nc),
 trip AS (SELECT src, dst, relation, min(seq) AS seq FROM raw GROUP BY ALL),
 edges AS (SELECT src, dst, relation, row_number() OVER (PARTITION BY src, dst ORDER BY seq) - 1 AS ekey, seq FROM trip),
 attribute_edges AS (SELECT 'entity_' || vec_id AS src, 'attribute_' || label AS dst, 'has_attribute' AS relation, 0 AS ekey FROM embeddings),
@@ -166,11 +181,13 @@ experts AS (SELECT subgraph_id, node_id, u AS score FROM strong JOIN expert_ids
 some_groups AS (SELECT 'Shared_Semantic' AS subgraph_id, node_id FROM semantic UNION ALL SELECT 'Shared_Structural', node_id FROM structural UNION ALL SELECT subgraph_id, node_id FROM experts),
 groups AS (SELECT *, CASE WHEN subgraph_id LIKE '%Shared_%' THEN 'shared' ELSE 'expert' END AS kind FROM (
   SELECT * FROM some_groups UNION ALL SELECT 'Shared_Unassigned', node_id FROM entities WHERE node_id NOT IN (SELECT node_id FROM some_groups))),
-queries AS (SELECT vec_id AS query_id, e AS q FROM unit WHERE vec_id < {QUERIES}),
+queries AS (SELECT vec_id AS query_id, e AS q FROM unit WHERE vec_id % 100 = 0),
 pairs AS (SELECT query_id, node_id AS id, round(list_inner_product(e, q), 6) AS score FROM unit, queries),
 hits AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pairs WHERE id IN (SELECT node_id FROM semantic) QUALIFY rank <= 20),
 chunk_vectors AS (SELECT 'c' || doc_id AS chunk_id, unit.e FROM documents, nc JOIN unit ON unit.vec_id = documents.doc_id % nc.n),
-near AS (SELECT query_id, succ.dst AS entity_id, NULL::DOUBLE AS similarity, succ.src, succ.relation, succ.dst, 'neighbour' AS path, rank * 1000000 + row_number() OVER (PARTITION BY query_id, rank ORDER BY succ.dst) AS seq FROM hits JOIN succ ON succ.src = hits.id),
+tv AS (SELECT DISTINCT trip.src, trip.dst, list_transform(list_zip(a.e, b.e), lambda x: (x[1] + x[2]) / 2) AS e FROM trip JOIN entities a ON a.node_id = src JOIN entities b ON b.node_id = dst WHERE src IN (SELECT id FROM hits)),
+tsim AS (SELECT query_id, src, dst, round(list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) + 1e-12), 6) AS s FROM tv, queries),
+near AS (SELECT query_id, succ.dst AS entity_id, coalesce(s, 0.0) AS similarity, succ.src, succ.relation, succ.dst, 'neighbour' AS path, rank * 1000000 + row_number() OVER (PARTITION BY query_id, rank ORDER BY succ.dst) AS seq FROM hits JOIN succ ON succ.src = hits.id LEFT JOIN tsim USING (query_id, src, dst)),
 found AS (SELECT * FROM near UNION ALL SELECT query_id, id, score, NULL, NULL, NULL, 'entity', rank * 1000000 + 999999 FROM hits),
 records AS (SELECT found.*, nodes.chunk_id FROM found JOIN nodes ON nodes.node_id = entity_id WHERE path <> 'entity' OR nodes.chunk_id IS NOT NULL),
 votes AS (SELECT query_id, subgraph_id, count(*) AS votes FROM (SELECT DISTINCT query_id, entity_id FROM records) r JOIN experts ON r.entity_id = experts.node_id GROUP BY ALL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from strandgraph.functions import text as tx
 from strandgraph.functions import vectors as vx
 from strandgraph.operators import content, experts, extract, graph, hubs, memberships, retrieval
 from strandgraph.plans.fixture import GRAPH_SQL, Fixture
-from strandgraph.storage import Scratch
+from strandgraph.sources import tables
+from strandgraph.storage import Scratch, scratch_dir
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracle: dict[str, str] = {}
@@ -72,24 +74,36 @@ def _(g):
     return extract.checked_nodes(g.nodes.drop("level")).select("node_id", "level")
 
 
-@_query("src08_group_nodes", "SELECT DISTINCT subgraph_id, kind || '_subgraph' AS label FROM groups")
+def _path(g: Fixture) -> str:
+    """A new place for what a query writes and reads back."""
+    return f"{scratch_dir(g.spark)}/strandgraph/{uuid.uuid4().hex}"
+
+
+def _stored_groups(g: Fixture) -> DataFrame:
+    tables.write_mixture(g.groups, path := _path(g))
+    return tables.read_mixture(g.spark, path)
+
+
+@_query("src08_group_nodes", "SELECT DISTINCT subgraph_id, kind || '_subGraph' AS label FROM groups")
 def _(g):
-    return memberships.super_nodes(g.groups).select(F.col("node_id").alias("subgraph_id"), "label")
+    return memberships.super_nodes(_stored_groups(g)).select(F.col("node_id").alias("subgraph_id"), "label")
 
 
 @_query("src09_group_kinds", "SELECT subgraph_id, kind, count(*) AS members FROM groups GROUP BY ALL")
 def _(g):
-    return g.groups.groupBy("subgraph_id", "kind").agg(F.count("*").alias("members"))
+    return _stored_groups(g).groupBy("subgraph_id", "kind").agg(F.count("*").alias("members"))
 
 
 @_query("src11_entity_vectors", "SELECT node_id, round(list_sum(e), 4) AS total, len(e) AS dim FROM entities")
 def _(g):
-    return g.entities.select("node_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.size("embedding").cast("long").alias("dim"))
+    tables.write_vectors(g.entities.select("node_id", "embedding"), path := _path(g))
+    return g.spark.read.parquet(path).select("node_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.size("embedding").cast("long").alias("dim"))
 
 
 @_query("src12_chunk_vectors", "SELECT chunk_id, len(e) AS dim FROM chunk_vectors")
 def _(g):
-    return g.chunk_vectors.select("chunk_id", F.size("embedding").cast("long").alias("dim"))
+    tables.write_vectors(g.chunk_vectors, path := _path(g))
+    return g.spark.read.parquet(path).select("chunk_id", F.size("embedding").cast("long").alias("dim"))
 
 
 @_query("src13_group_hash", "SELECT subgraph_id, substr(md5(string_agg(node_id, '|' ORDER BY node_id)), 1, 16) AS hash FROM groups GROUP BY subgraph_id")
@@ -117,15 +131,18 @@ def _(g):
 
 @_query("snk08_retention", "SELECT DISTINCT o_orderkey % 17 AS batch_id FROM orders ORDER BY 1 DESC LIMIT 5", False)
 def _(g):
-    return content.retained(g.table("orders").select(F.expr("o_orderkey % 17").alias("batch_id")).distinct(), "batch_id", 5)
+    orders = g.table("orders").select("o_orderkey", F.expr("o_orderkey % 17").alias("batch"))
+    orders.write.partitionBy("batch").parquet(path := _path(g))
+    tables.keep_latest_batches(g.spark, path, 5)
+    return g.spark.read.parquet(path).select(F.col("batch").cast("long").alias("batch_id")).distinct()
 
 
 @_query("snk09_ontology_merge", "SELECT list_sort(list(DISTINCT x)) AS types FROM (SELECT p_type AS x FROM part UNION SELECT p_brand FROM part)", False)
 def _(g):
     p = g.table("part")
-    old = p.agg(F.sort_array(F.collect_set("p_type")).alias("old"))
-    new = p.agg(F.sort_array(F.collect_set("p_brand")).alias("new"))
-    return old.crossJoin(new).select(F.sort_array(F.array_union("old", "new")).alias("types"))
+    kinds = [sorted(r[0] for r in p.select(c).distinct().collect()) for c in ("p_type", "p_brand")]  # some tens of names
+    merged = tables.merge_ontology({"Nodes": kinds[0]}, {"Nodes": kinds[1]})
+    return g.spark.createDataFrame([(sorted(merged["Nodes"]),)], "types array<string>")
 
 
 # --- projections and filters -------------------------------------------------
@@ -163,9 +180,9 @@ def _(g):
     return graph.triple_texts(g.nodes, g.all_edges)
 
 
-@_query("prj08_chunk_id", "SELECT node_id, chunk_id FROM nodes")
+@_query("prj08_chunk_id", "SELECT node_id, coalesce(CASE WHEN length(node_id) % 2 = 0 THEN chunk_id END, node_id) AS chunk_id FROM nodes")
 def _(g):
-    odd = g.nodes.select("node_id", F.when(F.expr("hash(node_id) % 2 = 0"), F.col("chunk_id")).alias("source_id"), F.col("chunk_id").alias("chunk id"))
+    odd = g.nodes.select("node_id", F.lit("last").alias("source_id"), F.col("node_id").alias("id"), F.when(F.length("node_id") % 2 == 0, F.col("chunk_id")).alias("chunkId"))
     return odd.select("node_id", content.chunk_id_of(odd).alias("chunk_id"))
 
 
@@ -220,9 +237,10 @@ def _(g):
     return g.all_edges.join(g.groups.filter("kind = 'shared'"), F.col("src") == F.col("node_id")).select("subgraph_id", "src", "dst", "relation")
 
 
-@_query("jn05_entity_embedding", "SELECT node_id, chunk_id FROM nodes WHERE node_id IN (SELECT node_id FROM entities)")
+@_query("jn05_entity_embedding", "SELECT node_id, chunk_id, round(list_sum(e), 4) AS total FROM nodes JOIN (SELECT node_id, e FROM entities) USING (node_id)")
 def _(g):
-    return g.nodes.filter("embedding is not null").select("node_id", "chunk_id")
+    vectors = g.table("embeddings").select(F.concat(F.lit("entity_"), "vec_id").alias("node_id"), "embedding")
+    return content.with_vectors(g.nodes, vectors).select("node_id", "chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 @_query("jn06_hit_successors", "SELECT query_id, id, succ.dst, succ.relation FROM hits JOIN succ ON succ.src = hits.id")
@@ -230,14 +248,14 @@ def _(g):
     return g.hits.join(graph.successors(g.all_edges), F.col("id") == F.col("src")).select("query_id", "id", "dst", "relation")
 
 
-@_query("jn07_triple_similarity", ", tv AS (SELECT src, dst, list_transform(list_zip(a.e, b.e), lambda x: (x[1] + x[2]) / 2) AS e FROM trip JOIN unit a ON a.node_id = src JOIN unit b ON b.node_id = dst), ts AS (SELECT DISTINCT query_id, src, dst, round(list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) + 1e-8), 5) AS s FROM tv, queries) SELECT query_id, all_edges.src, all_edges.dst, coalesce(s, 0.0) AS similarity FROM (SELECT DISTINCT src, dst FROM all_edges) all_edges CROSS JOIN (SELECT query_id FROM queries) LEFT JOIN ts USING (query_id, src, dst)")
+@_query("jn07_triple_similarity", ", tu AS (SELECT src, dst, list_transform(list_zip(a.e, b.e), lambda x: (x[1] + x[2]) / 2) AS e FROM trip JOIN unit a ON a.node_id = src JOIN unit b ON b.node_id = dst), ts AS (SELECT DISTINCT query_id, src, dst, round(list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) + 1e-8), 5) AS s FROM tu, queries) SELECT query_id, all_edges.src, all_edges.dst, coalesce(s, 0.0) AS similarity FROM (SELECT DISTINCT src, dst FROM all_edges) all_edges CROSS JOIN (SELECT query_id FROM queries) LEFT JOIN ts USING (query_id, src, dst)")
 def _(g):
     return content.triple_similarity(g.queries, g.all_edges, g.entities)
 
 
 @_query("jn08_chunk_text", "SELECT DISTINCT query_id, chunk_id, coalesce(length(text), 0) AS chars FROM records LEFT JOIN (SELECT 'c' || doc_id AS chunk_id, text FROM documents) USING (chunk_id) WHERE chunk_id IS NOT NULL")
 def _(g):
-    r = retrieval.first_chunks(retrieval.expand(g.hits, g.nodes, g.all_edges))
+    r = retrieval.first_chunks(g.expanded)
     return r.join(g.chunks, "chunk_id", "left").select("query_id", "chunk_id", F.coalesce(F.length("chunk_text"), F.lit(0)).cast("long").alias("chars"))
 
 
@@ -252,9 +270,9 @@ def _(g):
     return s.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 5).alias("best"), F.round(F.sum("score"), 2).alias("total"))
 
 
-@_query("jn12_keyword_groups", ", kw AS (SELECT DISTINCT unnest(['shared', 'expert_1', 'semantic', 'xyz', 'the Expert_2 group']) AS keyword) SELECT DISTINCT keyword, subgraph_id FROM kw, groups WHERE contains(lower(keyword), lower(subgraph_id)) OR contains(lower(subgraph_id), lower(keyword))")
+@_query("jn12_keyword_groups", ", kw AS (SELECT DISTINCT unnest(['shared', 'expert_1', 'semantic', 'xyz', 'the Expert_2 group', 'ex', 'a', '1']) AS keyword) SELECT DISTINCT keyword, subgraph_id FROM kw, groups WHERE contains(lower(keyword), lower(subgraph_id)) OR contains(lower(subgraph_id), lower(keyword))")
 def _(g):
-    kw = g.spark.createDataFrame([("shared",), ("expert_1",), ("semantic",), ("xyz",), ("the Expert_2 group",)], "keyword string")
+    kw = g.spark.createDataFrame([("shared",), ("expert_1",), ("semantic",), ("xyz",), ("the Expert_2 group",), ("ex",), ("a",), ("1",)], "keyword string")
     return memberships.keyword_links(kw, g.groups)
 
 
@@ -298,9 +316,13 @@ def _(g):
     return hubs.structural_hub(g.entities, g.edges)
 
 
-@_query("agg06_hub_profile", "SELECT count(*) AS size, round(count(*) / (SELECT n FROM nc)::DOUBLE, 6) AS coverage FROM semantic")
+@_query("agg06_hub_profile", """, few AS (SELECT name, md5(node_id) AS h, node_id FROM semantic JOIN (SELECT node_id, name FROM entities) USING (node_id) ORDER BY h, node_id LIMIT 5),
+hd AS (SELECT i, avg(x) AS m FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS i FROM semantic JOIN (SELECT node_id, e FROM entities) USING (node_id)) GROUP BY i)
+SELECT count(*) AS size, round(count(*) / (SELECT n FROM nc)::DOUBLE, 6) AS coverage, 'Semantic hub of ' || count(*) || ' nodes, among them ' || (SELECT string_agg(name, ', ' ORDER BY h, node_id) FROM few) AS description,
+  (SELECT round(sum(m) / (sqrt(sum(m * m)) + 1e-9), 6) FROM hd) AS total FROM semantic""")
 def _(g):
-    return hubs.hub_profile(g.semantic, g.entities).select("size", F.round("coverage", 6).alias("coverage"))
+    p = hubs.hub_profile(g.semantic, g.entities)
+    return p.select("size", F.round("coverage", 6).alias("coverage"), "description", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 @_query("agg07_seeds")
@@ -320,9 +342,9 @@ def _(g):
     return experts.memberships(g.entities, c)
 
 
-@_query("agg09_adaptive_threshold", ", top AS (SELECT max(u) AS m FROM u GROUP BY node_id), cover AS (SELECT t / 20.0 AS t, (SELECT avg((m > t / 20.0)::INT) FROM top) AS c FROM range(1, 20) r(t)) SELECT CASE WHEN max(c) = 0 THEN 0.1 ELSE coalesce(min(CASE WHEN c >= 0.7 THEN t END), arg_max(t, c))::DOUBLE END AS threshold FROM cover")
+@_query("agg09_adaptive_threshold", ", top AS (SELECT max(u) AS m FROM u GROUP BY node_id), cover AS (SELECT t, (SELECT avg((m > t)::INT) FROM top) AS c FROM (SELECT 0.05::DOUBLE + i * 0.45::DOUBLE / 19 AS t FROM range(0, 20) r(i))) SELECT round(CASE WHEN max(c) = 0 THEN 0.1 ELSE coalesce(min(CASE WHEN c >= 0.7 THEN t END), (SELECT min(t) FROM cover WHERE c = (SELECT max(c) FROM cover)))::DOUBLE END, 6) AS threshold FROM cover")
 def _(g):
-    return g.spark.createDataFrame([(experts.adaptive_threshold(g.u),)], "threshold double")
+    return g.spark.createDataFrame([(round(experts.adaptive_threshold(g.u), 6),)], "threshold double")
 
 
 @_query("agg10_experts", "SELECT subgraph_id, node_id, round(score, 6) AS score FROM experts")
@@ -342,21 +364,21 @@ def _(g):
 
 @_query("agg13_votes", "SELECT query_id, subgraph_id, votes FROM votes")
 def _(g):
-    r = retrieval.expand(g.hits, g.nodes, g.all_edges)
+    r = g.expanded
     seen = r.select("query_id", F.col("entity_id").alias("node_id")).distinct()
     return seen.join(g.experts, "node_id").groupBy("query_id", "subgraph_id").agg(F.count("*").alias("votes"))
 
 
 @_query("agg14_min_max", "SELECT query_id, subgraph_id, round(score, 6) AS score FROM routed")
 def _(g):
-    r = retrieval.expand(g.hits, g.nodes, g.all_edges)
+    r = g.expanded
     votes = r.select("query_id", F.col("entity_id").alias("node_id")).distinct().join(g.experts, "node_id").groupBy("query_id", "subgraph_id").agg(F.count("*").alias("votes"))
     return retrieval.min_max(votes, "votes", "s", ["query_id"]).select("query_id", "subgraph_id", F.round("s", 6).alias("score"))
 
 
 @_query("agg15_fusion_stats", "SELECT query_id, count(*) AS records, count(DISTINCT chunk_id) AS chunks, count(DISTINCT src || relation || dst) AS triples FROM records GROUP BY query_id")
 def _(g):
-    r = retrieval.expand(g.hits, g.nodes, g.all_edges)
+    r = g.expanded
     return r.groupBy("query_id").agg(F.count("*").alias("records"), F.countDistinct("chunk_id").alias("chunks"), F.countDistinct(F.when(F.col("src").isNotNull(), F.concat("src", "relation", "dst"))).alias("triples"))
 
 
@@ -377,7 +399,7 @@ def _(g):
 
 @_query("agg19_distinct_union", "SELECT query_id, list_sort(list(DISTINCT chunk_id)) AS chunks FROM records WHERE chunk_id IS NOT NULL GROUP BY query_id")
 def _(g):
-    r = retrieval.expand(g.hits, g.nodes, g.all_edges)
+    r = g.expanded
     return r.filter("chunk_id is not null").groupBy("query_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("chunks"))
 
 
@@ -391,7 +413,7 @@ def _(g):
 
 @_query("win02_last_wins", "SELECT query_id, entity_id, string_agg(path, '+' ORDER BY seq) AS path, arg_max(path, seq) AS last_path FROM records GROUP BY ALL")
 def _(g):
-    r = retrieval.expand(g.hits, g.nodes, g.all_edges).withColumn("last_path", F.col("path"))
+    r = g.expanded.withColumn("last_path", F.col("path"))
     return retrieval.last_wins(r).select("query_id", "entity_id", "path", "last_path")
 
 
@@ -420,7 +442,7 @@ def _(g):
     return retrieval.top_k(g.queries, g.entities.select(F.col("node_id").alias("id"), "embedding")).select("query_id", "id", "score")
 
 
-@_query("top02_l2", ", dd AS (SELECT query_id, unit.node_id AS id, round(list_sum(list_transform(list_zip(entities.e, qe.e), lambda x: pow(x[1] - x[2], 2))), 6) AS d FROM entities JOIN unit USING (node_id), (SELECT vec_id AS query_id, e FROM entities WHERE vec_id < 5) qe) SELECT query_id, id, d AS distance FROM dd QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 20")
+@_query("top02_l2", ", dd AS (SELECT query_id, unit.node_id AS id, round(list_sum(list_transform(list_zip(entities.e, qe.e), lambda x: pow(x[1] - x[2], 2))), 6) AS d FROM entities JOIN unit USING (node_id), (SELECT vec_id AS query_id, e FROM entities WHERE vec_id % 100 = 0) qe) SELECT query_id, id, d AS distance FROM dd QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 20")
 def _(g):
     return retrieval.top_k(g.queries, g.entities.select(F.col("node_id").alias("id"), "embedding"), metric="l2").select("query_id", "id", (-F.col("score") + 0.0).alias("distance"))
 
@@ -432,19 +454,19 @@ def _(g):
 
 @_query("top05_chunk_rank", ", s AS (SELECT DISTINCT query_id, chunk_id, round(list_inner_product(e, q), 6) AS score FROM records JOIN chunk_vectors USING (chunk_id) JOIN queries USING (query_id)) SELECT query_id, chunk_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20")
 def _(g):
-    r = retrieval.expand(g.hits, g.nodes, g.all_edges)
+    r = g.expanded
     return retrieval.fuse(g.queries, r, g.chunk_vectors).select("query_id", "chunk_id", "score")
 
 
-@_query("top06_triple_rank", "SELECT query_id, src, relation, dst FROM (SELECT DISTINCT query_id, src, relation, dst FROM records WHERE src IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY src, relation, dst) <= 20")
+@_query("top06_triple_rank", "SELECT query_id, src, relation, dst, s AS similarity FROM (SELECT query_id, src, relation, dst, arg_min(similarity, seq) AS s FROM records WHERE src IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, src, relation, dst) <= 20")
 def _(g):
-    r = retrieval.expand(g.hits, g.nodes, g.all_edges)
-    return retrieval.fuse_triples(r).select("query_id", "src", "relation", "dst")
+    r = g.expanded
+    return retrieval.fuse_triples(r).select("query_id", "src", "relation", "dst", "similarity")
 
 
 @_query("top07_expert_rank", "SELECT query_id, subgraph_id, votes, round(score, 6) AS score FROM active")
 def _(g):
-    r = retrieval.expand(g.hits, g.nodes, g.all_edges)
+    r = g.expanded
     return retrieval.route(r, g.groups).select("query_id", "subgraph_id", "votes", F.round("score", 6).alias("score"))
 
 
@@ -521,7 +543,7 @@ def _(g):
 
 @_query("gr06_one_hop", "SELECT query_id, entity_id, path, src, relation, dst FROM records")
 def _(g):
-    return retrieval.expand(g.hits, g.nodes, g.all_edges).select("query_id", "entity_id", "path", "src", "relation", "dst")
+    return g.expanded.select("query_id", "entity_id", "path", "src", "relation", "dst")
 
 
 _REACH = """, recursive_dummy AS (SELECT 1), p AS (SELECT DISTINCT src, dst FROM edges), h0 AS (SELECT 'entity_0' AS node_id), h1 AS (SELECT DISTINCT dst AS node_id FROM p JOIN h0 ON src = node_id),
@@ -544,24 +566,16 @@ def _(g):
     return graph.ego_sets(g.edges, g.structural)
 
 
-_GROUPS = """, ego AS (SELECT DISTINCT hub, node_id FROM (SELECT 'entity_' || h AS hub, dst AS node_id FROM range(0, 12) r(h) JOIN edges ON src = 'entity_' || h UNION ALL SELECT 'entity_' || h, 'entity_' || h FROM range(0, 12) r(h))),
-link AS (SELECT DISTINCT a.hub AS x, b.hub AS y FROM ego a JOIN ego b USING (node_id)),
-w1 AS (SELECT a.x, b.y FROM link a JOIN link b ON a.y = b.x GROUP BY ALL), w2 AS (SELECT a.x, b.y FROM w1 a JOIN w1 b ON a.y = b.x GROUP BY ALL),
-w3 AS (SELECT a.x, b.y FROM w2 a JOIN w2 b ON a.y = b.x GROUP BY ALL), w4 AS (SELECT a.x, b.y FROM w3 a JOIN w3 b ON a.y = b.x GROUP BY ALL),
-root AS (SELECT x AS hub, min(y) AS group_id FROM w4 GROUP BY x), merged AS (SELECT DISTINCT group_id, node_id FROM ego JOIN root USING (hub)) """
-
-
 def _merged(g: Fixture) -> DataFrame:
-    few = g.entities.filter("cast(substring(node_id, 8) as int) < 12")
-    return graph.merge_sets(graph.ego_sets(g.edges, few))
+    return graph.merge_sets(graph.ego_sets(g.edges, g.structural), g.edges)
 
 
-@_query("gr10_merge_sets", _GROUPS + "SELECT group_id, node_id FROM merged")
+@_query("gr10_merge_sets")
 def _(g):
     return _merged(g)
 
 
-@_query("gr11_hub_expansion", _GROUPS + ", z AS (SELECT group_id FROM merged GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT group_id, node_id FROM merged WHERE group_id IN (SELECT * FROM z)")
+@_query("gr11_hub_expansion")
 def _(g):
     return graph.largest_group(_merged(g))
 
@@ -578,29 +592,41 @@ def _(g):
 
 @_query("rt01_entity_path", "SELECT query_id, entity_id, path, round(similarity, 6) AS similarity, chunk_id FROM records")
 def _(g):
-    return retrieval.expand(g.hits, g.nodes, g.all_edges).select("query_id", "entity_id", "path", F.round("similarity", 6).alias("similarity"), "chunk_id")
+    return g.expanded.select("query_id", "entity_id", "path", F.round("similarity", 6).alias("similarity"), "chunk_id")
 
 
-@_query("rt02_triple_path", """, tv AS (SELECT trip.src, trip.dst, trip.relation, src || '|' || relation || '|' || dst AS id, list_transform(list_zip(a.e, b.e), lambda x: (x[1] + x[2]) / 2) AS e FROM trip JOIN entities a ON a.node_id = src JOIN entities b ON b.node_id = dst WHERE src IN (SELECT node_id FROM semantic)),
-th AS (SELECT query_id, src, relation, dst, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) + 1e-12), 6) DESC, id) AS rank FROM tv, queries QUALIFY rank <= 20),
+@_query("rt02_triple_path", """, tr AS (SELECT trip.src, trip.dst, trip.relation, src || '|' || relation || '|' || dst AS id, list_transform(list_zip(a.e, b.e), lambda x: (x[1] + x[2]) / 2) AS e FROM trip JOIN entities a ON a.node_id = src JOIN entities b ON b.node_id = dst WHERE src IN (SELECT node_id FROM semantic)),
+th AS (SELECT query_id, src, relation, dst, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) + 1e-12), 6) DESC, id) AS rank FROM tr, queries QUALIFY rank <= 20),
 te AS (SELECT query_id, src AS entity_id, src, relation, dst, rank * 2 AS seq FROM th UNION ALL SELECT query_id, dst, src, relation, dst, rank * 2 + 1 FROM th)
 SELECT query_id, entity_id, arg_min(src, seq) AS src, arg_min(relation, seq) AS relation, arg_min(dst, seq) AS dst FROM te GROUP BY ALL""")
 def _(g):
-    triples, vec = retrieval.triple_vectors(g.nodes, g.edges)
-    inside = g.semantic.select(F.lit("Shared_Semantic").alias("subgraph_id"), F.col("node_id").alias("src")).join(vec, "src").select("subgraph_id", F.col("triple_id").alias("id"), "embedding")
+    inside = g.semantic.select(F.lit("Shared_Semantic").alias("subgraph_id"), F.col("node_id").alias("src")).join(g.triples, "src").select("subgraph_id", F.col("triple_id").alias("id"), "embedding")
     hits = retrieval.top_k(g.queries, inside, by=["subgraph_id"])
-    return retrieval.triple_ends(hits, triples, g.nodes).select("query_id", "entity_id", "src", "relation", "dst")
-
-
-@_query("rt03_group_search")
+    return retrieval.triple_ends(hits, g.triples, g.nodes).select("query_id", "entity_id", "src", "relation", "dst")
+
+
+@_query("rt03_group_search", """, hub AS (SELECT subgraph_id, node_id FROM groups WHERE kind = 'shared'),
+he AS (SELECT query_id, subgraph_id, node_id AS id, score, row_number() OVER (PARTITION BY query_id, subgraph_id ORDER BY score DESC, node_id) AS rank FROM pairs JOIN hub ON id = node_id QUALIFY rank <= 20),
+es AS (SELECT src, dst, arg_min(relation, ekey) AS relation FROM edges GROUP BY ALL),
+tr AS (SELECT trip.src, trip.dst, trip.relation, src || '|' || relation || '|' || dst AS id, list_transform(list_zip(a.e, b.e), lambda x: (x[1] + x[2]) / 2) AS e FROM trip JOIN entities a ON a.node_id = src JOIN entities b ON b.node_id = dst),
+ts AS (SELECT query_id, src, relation, dst, id, round(list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) + 1e-12), 6) AS s FROM tr, queries),
+th AS (SELECT query_id, subgraph_id, src, relation, dst, s, row_number() OVER (PARTITION BY query_id, subgraph_id ORDER BY s DESC, ts.id) AS rank FROM ts JOIN hub ON src = node_id QUALIFY rank <= 20),
+te AS (SELECT query_id, subgraph_id, src AS entity_id, s, src, relation, dst, rank * 2 AS seq FROM th UNION ALL SELECT query_id, subgraph_id, dst, s, src, relation, dst, rank * 2 + 1 FROM th),
+tf AS (SELECT query_id, subgraph_id, entity_id, arg_min({'s': s, 'src': src, 'relation': relation, 'dst': dst}, seq) AS r, min(seq) AS seq FROM te GROUP BY ALL),
+every AS (SELECT query_id, subgraph_id, es.dst AS entity_id, ts.s AS similarity, es.src, es.relation, es.dst, 'neighbour' AS path, rank * 10000000 + row_number() OVER (PARTITION BY query_id, subgraph_id, rank ORDER BY es.dst) AS seq FROM he JOIN es ON es.src = he.id JOIN ts USING (query_id, src, relation, dst)
+  UNION ALL SELECT query_id, subgraph_id, id, score, NULL, NULL, NULL, 'entity', rank * 10000000 + 9999999 FROM he
+  UNION ALL SELECT query_id, subgraph_id, entity_id, r.s, r.src, r.relation, r.dst, 'triple', 100000000000 + seq FROM tf),
+lw AS (SELECT query_id, subgraph_id, entity_id, arg_max({'similarity': similarity, 'src': src, 'relation': relation, 'dst': dst}, seq) AS r, string_agg(path, '+' ORDER BY seq) AS path FROM every GROUP BY ALL)
+SELECT query_id, subgraph_id, entity_id, r.similarity AS similarity, r.src AS src, r.relation AS relation, r.dst AS dst, path, chunk_id FROM lw JOIN nodes ON node_id = entity_id""")
 def _(g):
     hubs_ = g.groups.filter("kind = 'shared'").select("subgraph_id").distinct()
-    return retrieval.group_search(g.queries, g.nodes, g.edges, g.groups, g.queries.select("query_id").crossJoin(hubs_))
+    found = retrieval.index(g.nodes, g.edges, g.groups, Scratch(g.spark))
+    return retrieval.group_search(g.queries, found, g.queries.select("query_id").crossJoin(hubs_)).select("query_id", "subgraph_id", "entity_id", "similarity", "src", "relation", "dst", "path", "chunk_id")
 
 
 @_query("rt06_router", "SELECT query_id, subgraph_id, votes FROM active")
 def _(g):
-    return retrieval.route(retrieval.expand(g.hits, g.nodes, g.all_edges), g.groups).select("query_id", "subgraph_id", "votes")
+    return retrieval.route(g.expanded, g.groups).select("query_id", "subgraph_id", "votes")
 
 
 @_query("rt07_four_phases")
@@ -616,9 +642,25 @@ def _(g):
     return content.relevant_triples(g.queries, g.edges, g.entities)
 
 
-@_query("rt09_context")
+@_query("rt08_dual_path_nodes", """, gm AS (SELECT subgraph_id, i, avg(x) AS m FROM (SELECT subgraph_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM groups JOIN unit USING (node_id)) GROUP BY ALL),
+gv AS (SELECT subgraph_id, list(m ORDER BY i) AS e FROM gm GROUP BY 1),
+gh AS (SELECT query_id, subgraph_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) + 1e-12), 6) DESC, subgraph_id) AS rank FROM gv, queries QUALIFY rank <= 5),
+third AS (SELECT src, dst, list_transform(list_zip(a.e, b.e), lambda x: (x[1] + x[2]) / 2) AS e FROM (SELECT DISTINCT src, dst FROM trip) JOIN unit a ON a.node_id = src JOIN unit b ON b.node_id = dst),
+rel AS (SELECT query_id, src, dst FROM third, queries WHERE round(list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) + 1e-8), 5) >= 0.1),
+every AS (SELECT query_id, src AS node_id, 'triple' AS path FROM rel UNION SELECT query_id, dst, 'triple' FROM rel UNION SELECT query_id, node_id, 'group' FROM gh JOIN groups USING (subgraph_id))
+SELECT query_id, node_id, string_agg(path, '+' ORDER BY path) AS paths, round(list_inner_product(any_value(e), any_value(q)), 6) AS score FROM every JOIN unit USING (node_id) JOIN queries USING (query_id) GROUP BY query_id, node_id""")
 def _(g):
-    r = retrieval.expand(g.hits, g.nodes, g.all_edges)
+    hits = retrieval.top_k(g.queries, content.group_vectors(g.groups, g.entities), 5).select("query_id", "id")
+    return content.dual_path(g.queries, g.edges, g.entities, g.groups, hits)
+
+
+@_query("rt09_context", """, fc AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT DISTINCT query_id, chunk_id, round(list_inner_product(e, q), 6) AS score FROM records JOIN chunk_vectors USING (chunk_id) JOIN queries USING (query_id)) QUALIFY rank <= 20),
+ft AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, src, relation, dst) AS rank FROM (SELECT query_id, src, relation, dst, arg_min(similarity, seq) AS s FROM records WHERE src IS NOT NULL GROUP BY ALL) QUALIFY rank <= 20),
+t AS (SELECT query_id, string_agg(src || ' ' || relation || ' ' || dst, ', ' ORDER BY rank) AS triples FROM ft GROUP BY 1),
+c AS (SELECT query_id, string_agg('[' || rank || '] ' || coalesce(text, '[Missing content]'), chr(10) ORDER BY rank) AS chunks FROM fc LEFT JOIN (SELECT 'c' || doc_id AS chunk_id, text FROM documents) USING (chunk_id) GROUP BY 1)
+SELECT query_id, concat_ws(chr(10), triples, chunks) AS context FROM c FULL JOIN t USING (query_id)""")
+def _(g):
+    r = g.expanded
     return retrieval.context(retrieval.fuse(g.queries, r, g.chunk_vectors), retrieval.fuse_triples(r), g.chunks)
 
 
@@ -667,9 +709,9 @@ def _(g):
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(vx.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
-@_query("fn02_clean_text", r"SELECT page_id, regexp_replace(html, '[^\pL\pN\s.:,!?()\-+=]', '', 'g') AS text FROM pages", False)
+@_query("fn02_clean_text", r"SELECT page_id, CASE WHEN html IS NULL OR trim(html) = '' THEN '[EMPTY_TEXT]' WHEN t = '' THEN '[EMPTY_AFTER_CLEANING]' ELSE t END AS text FROM (SELECT *, trim(regexp_replace(html, '[^\pL\pN\s.:,!?()\-+=]', '', 'g')) AS t FROM pages)", False)
 def _(g):
-    return g.table("pages").select("page_id", F.regexp_replace("html", r"[^\p{L}\p{N}\s.:,!?()\-+=]", "").alias("text"))
+    return g.table("pages").select("page_id", tx.clean_text(F.col("html")).alias("text"))
 
 
 @_query("fn03_token_count", r"SELECT doc_id, len(string_split_regex(trim(text, ' '), '[ \t\n\x0B\f\r]+')) AS tokens FROM documents", False)
@@ -707,7 +749,7 @@ def _(g):
     return g.table("documents").select("doc_id", F.substring(F.md5("text"), 1, 16).alias("hash"))
 
 
-@_query("fn11_short_id", "SELECT doc_id, substr(sha256(doc_id || '|' || text), 1, 8) AS chunk_id FROM documents", False)
+@_query("fn11_short_id", "SELECT doc_id, substr(sha256(doc_id || '|' || text), 1, 32) AS chunk_id FROM documents", False)
 def _(g):
     return g.table("documents").select("doc_id", tx.short_id(F.col("text"), F.col("doc_id").cast("string")).alias("chunk_id"))
 
@@ -722,6 +764,17 @@ def _(g):
     return micro_batch_counts(g.spark, f"{g.dir}/events.parquet")
 
 
+@_query("inc01_batched_graph", "SELECT DISTINCT src, dst, relation FROM raw")
+def _(g):
+    from strandgraph.streaming import incremental
+
+    base, parts = _path(g), 4
+    g.raw.select("src", "dst", "relation").repartition(parts).write.parquet(f"{base}/in")
+    stream = g.spark.readStream.schema("src string, dst string, relation string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    incremental.run_batches(stream, lambda df, n: incremental.merge_batch(g.spark, df, n, f"{base}/out"), f"{base}/checkpoint")
+    return incremental.graph_of(g.spark, f"{base}/out")
+
+
 @_query("inc03_build_graph", "SELECT name, CASE WHEN name LIKE 'label:%' THEN 'attribute' ELSE 'entity' END AS label FROM (SELECT src AS name FROM raw UNION SELECT dst FROM raw UNION SELECT node_id FROM entities UNION SELECT 'label: ' || l FROM entities)")
 def _(g):
     from strandgraph.construct import build_graph
@@ -742,5 +795,5 @@ def _(g):
 
 @_query("flagship", "SELECT query_id, chunk_id, score FROM (SELECT DISTINCT query_id, chunk_id, round(list_inner_product(e, q), 6) AS score FROM records JOIN chunk_vectors USING (chunk_id) JOIN queries USING (query_id)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20")
 def flagship(g):
-    r = retrieval.expand(g.hits, g.nodes, g.all_edges)
+    r = g.expanded
     return retrieval.fuse(g.queries, r, g.chunk_vectors).select("query_id", "chunk_id", "score")

@@ -58,6 +58,13 @@ def answer_steps(subs: DataFrame, retrieve: Retrieve, model: Model, template: st
     return out if out is not None else subs.withColumns({c: F.lit(None).cast("string") for c in ("query", "context", "reply")})
 
 
+def answered(steps: DataFrame) -> DataFrame:
+    """The last step of each question of ``answer_steps``: ``(question_id, reply, answer, steps)``."""
+    last = steps.groupBy("question_id").agg(F.max_by("reply", "step").alias("reply"), (F.max("step") + 1).alias("steps"))
+    answer = F.when(F.contains("reply", F.lit(ANSWER_MARK)), F.trim(F.substring_index("reply", ANSWER_MARK, -1))).otherwise(F.col("reply"))
+    return last.select("question_id", "reply", answer.alias("answer"), "steps")
+
+
 def reflect(questions: DataFrame, retrieve: Retrieve, model: Model, steps: int = 0, template: str = "{context}\n{question}") -> DataFrame:
     """``questions(question_id, question)`` -> ``(question_id, reply, answer, steps)``.
 

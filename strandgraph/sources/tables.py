@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import logging
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandgraph.functions.text import nodes_hash
 from strandgraph.operators.content import parse_chunk_lines, read_relationships, relationships, upsert
+from strandgraph.operators.memberships import kind_of
 
 log = logging.getLogger("strandgraph")
 _DOC = "title string, text string"
@@ -43,7 +44,13 @@ def is_fresh(spark: SparkSession, source: str, cache: str) -> bool:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, title, text)`` of a JSON list of documents; records that cannot be read have null fields."""
+    """``(doc_id, title, text)`` of documents in JSON lines (``.jsonl``, read in parallel, ids from content) or one JSON list (numbered).
+
+    Records that cannot be read have null fields.
+    """
+    if path.rstrip("/").endswith(".jsonl"):
+        docs = spark.read.schema(_DOC).json(path, mode="PERMISSIVE")
+        return docs.select(F.xxhash64("title", "text").alias("doc_id"), "title", "text")
     docs = spark.read.schema(_DOC).json(path, multiLine=True, mode="PERMISSIVE")
     return docs.withColumn("doc_id", F.monotonically_increasing_id()).select("doc_id", "title", "text")
 
@@ -164,13 +171,37 @@ def keep_latest_batches(spark: SparkSession, path: str, n: int = 5) -> None:
 
 
 def clear_vectors(spark: SparkSession, path: str, hubs_only: bool = False) -> None:
-    """Forget cached vectors of a dataset, or only those of its hubs."""
-    delete(spark, f"{path}/hubs" if hubs_only else path)
+    """Forget cached vectors of a dataset, or of a group index only those of the hubs."""
+    if not hubs_only:
+        delete(spark, path)
+        return
+    fs, p = _fs(spark, path)
+    for s in fs.listStatus(p) if fs.exists(p) else []:
+        if s.getPath().getName().startswith("subgraph_id=Shared_"):
+            fs.delete(s.getPath(), True)
+
+
+_MIXTURE = "metadata struct<total_nodes:bigint,total_edges:bigint,dataset_name:string,node_type_statistics:map<string,bigint>>, mixture_of_graph struct<algorithm_type:string,subGraphs:map<string,struct<member_nodes:array<string>,description:string,node_id:string>>,node_memberships:map<string,array<string>>>"
+
+
+def write_mixture(groups: DataFrame, path: str) -> None:
+    """The interchange form of memberships: one JSON object, so for graphs that fit in one value."""
+    per = groups.groupBy("subgraph_id").agg(F.sort_array(F.collect_set("node_id")).alias("member_nodes"))
+    one = per.agg(F.map_from_entries(F.collect_list(F.struct("subgraph_id", F.struct("member_nodes", F.col("subgraph_id").alias("node_id"))))).alias("subGraphs"))
+    one.select(F.to_json(F.struct(F.struct("subGraphs").alias("mixture_of_graph")))).write.mode("overwrite").text(path)
+
+
+def read_mixture(spark: SparkSession, path: str) -> DataFrame:
+    """``(subgraph_id, kind, node_id)`` of the ``mixture_of_graph`` part of a graph's JSON; none where there is no such part."""
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", _MIXTURE).alias("g"))
+    rows = doc.select(F.explode("g.mixture_of_graph.subGraphs").alias("subgraph_id", "s"))
+    return rows.select("subgraph_id", kind_of(F.col("subgraph_id")).alias("kind"), F.explode("s.member_nodes").alias("node_id"))
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """Adds ``i``, the place of a row in its key's order of all columns."""
-    return df.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(*df.columns)))
+def read_metadata(spark: SparkSession, path: str) -> dict:
+    """The ``metadata`` part of a graph's JSON, empty if there is none."""
+    row = spark.read.text(path, wholetext=True).select(F.from_json("value", _MIXTURE)["metadata"].alias("m")).first()
+    return row["m"].asDict() if row and row["m"] else {}
 
 
 def setup_logging(level: str = "INFO") -> logging.Logger:

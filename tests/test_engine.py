@@ -1,10 +1,13 @@
 import json
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from strandgraph import config, construct, qa
+from strandgraph.functions.text import plain
 from strandgraph.hooks import CannedModel, HashingEncoder, Retrying, encode, is_rate_limit
 from strandgraph.sources import tables
 from strandgraph.streaming import incremental
@@ -18,7 +21,7 @@ def test_from_corpus(spark):
     docs = spark.createDataFrame([(0, "T", "Ann met Bob"), (1, "U", "Bob met Cid"), (2, "V", "broken")], "doc_id long, title string, text string")
     model = CannedModel((("Ann", _record(("Ann", "met", "Bob"))), ("Cid", "```json\n" + _record(("Bob", "met", "Cid"), ("Bob", "met", "Cid")) + "\n```")), "no json")
     out = construct.from_corpus(docs, "demo", model, HashingEncoder(16), config.EngineConfig().override({"grouping": {"clusters": 2, "rounds": 3, "least_members": 1}}))
-    names = {r["name"]: r["label"] for r in out["nodes"].collect()}
+    names = {r["name"]: r["label"] for r in out["nodes"].filter("level < 4").collect()}
     assert names == {"Ann": "entity", "Bob": "entity", "Cid": "entity", "kind: ann": "attribute", "kind: bob": "attribute"}
     assert out["edges"].filter("relation = 'met'").count() == 2
     assert out["vectors"].count() == 2  # the third name is too short to embed alone
@@ -69,6 +72,47 @@ def test_retrying():
 
     assert Retrying(model, tries=5, pause=0)("x") == "ok"
     assert is_rate_limit("Rate limit reached") and not is_rate_limit("broken pipe")
+    assert is_rate_limit("TPM: 500") and is_rate_limit("Request limit exceeded")
+
+
+def test_values_become_plain():
+    got = plain({"a": np.int64(3), 2: {"x", "y"}, "v": np.ones(2), "o": Path("p"), "n": None, "t": (True, 1.5)})
+    assert json.loads(json.dumps(got)) == {"a": 3, "2": ["x", "y"], "v": [1.0, 1.0], "o": "p", "n": None, "t": [True, 1.5]}
+
+
+def test_batches_extract_each_chunk_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "", f"text {i}") for i in range(9)], "doc_id long, title string, text string")
+    reply = json.dumps({"attributes": {}, "triples": [["a", "knows", "b"]], "entity_types": {}})
+    settings = config.EngineConfig().override({"construction": {"batched": True, "batch_size": 3}})
+    path = f"file://{tmp_path}/cp"
+    first = construct.from_corpus(docs, "demo", CannedModel((), reply), HashingEncoder(16), settings, path)
+    again = construct.from_corpus(docs, "demo", CannedModel((), "not asked again"), HashingEncoder(16), settings, path)
+    for got in (first, again):
+        assert sorted(r["name"] for r in got["nodes"].filter("level < 4").collect()) == ["a", "b"]
+        assert got["nodes"].filter("level = 4").count() == got["groups"].select("subgraph_id").distinct().count()
+    assert tables.exists(spark, f"{path}/of=3/batch=2/_SUCCESS")
+
+
+def test_mixture_and_hub_cache(spark, tmp_path):
+    groups = spark.createDataFrame([("Shared_A", "shared", "a"), ("Expert_1", "expert", "a"), ("Expert_1", "expert", "b")], "subgraph_id string, kind string, node_id string")
+    tables.write_mixture(groups, f"file://{tmp_path}/m")
+    assert sorted(map(tuple, tables.read_mixture(spark, f"file://{tmp_path}/m").collect())) == sorted(map(tuple, groups.collect()))
+    (tmp_path / "g.json").write_text(json.dumps({"relationships": [], "metadata": {"total_nodes": 3, "total_edges": 1, "dataset_name": "demo"}}))
+    assert tables.read_metadata(spark, f"file://{tmp_path}/g.json")["total_nodes"] == 3
+    assert tables.read_mixture(spark, f"file://{tmp_path}/g.json").count() == 0
+    vec = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "node_id string, embedding array<float>")
+    tables.write_group_index(groups, vec, f"file://{tmp_path}/i")
+    tables.clear_vectors(spark, f"file://{tmp_path}/i", hubs_only=True)
+    assert {r[0] for r in spark.read.parquet(f"file://{tmp_path}/i").select("subgraph_id").collect()} == {"Expert_1"}
+
+
+def test_ask_in_steps(spark):
+    questions = spark.createDataFrame([("q1", "who?")], "question_id string, question string")
+    model = CannedModel((("Decompose", '["first", "second"]'), ("second", "So the answer is: yes")), "maybe")
+    search = lambda q: q.select("query_id", F.lit("").alias("context"))
+    got = qa.answered(qa.answer_steps(qa.decompose(questions, model), search, model)).first()
+    assert (got["answer"], got["steps"]) == ("yes", 2)
+    assert config.EngineConfig().override(config.parse_mode("decompose")).retrieval.decompose
 
 
 def test_config(tmp_path):

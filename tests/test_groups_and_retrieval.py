@@ -2,8 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandgraph.operators import experts, memberships, retrieval
+from strandgraph.hooks import HashingEncoder
+from strandgraph.operators import experts, graph, memberships, retrieval
+from strandgraph.operators.graph import successors
 from strandgraph.plans.fixture import Fixture
+from strandgraph.storage import Scratch
 
 DIR = "/root/testdata/sf0.001"
 
@@ -47,6 +50,19 @@ def test_adaptive_threshold_falls_to_the_floor(spark):
     assert experts.adaptive_threshold(u.filter("u < 0.05")) == 0.1
 
 
+def test_adaptive_threshold_steps_evenly_from_five_to_fifty_percent(spark):
+    u = spark.createDataFrame([(f"n{i}", 0, 0.06 if i < 7 else 0.04) for i in range(10)], "node_id string, k int, u double")
+    assert experts.adaptive_threshold(u) == 0.05
+    u = spark.createDataFrame([(f"n{i}", 0, 0.3 if i < 6 else 0.01) for i in range(10)], "node_id string, k int, u double")
+    assert experts.adaptive_threshold(u) == 0.05  # never 70 percent: the first of the best
+
+
+def test_an_empty_cluster_goes_on_from_a_row(spark):
+    x = np.eye(3).repeat(4, axis=0)
+    got = experts.fuzzy_c_means(_vectors(spark, x), np.array([[1.0, 0, 0], [0, 0, 0]]), rounds=1)
+    assert np.linalg.norm(got, axis=1) == pytest.approx([1, 1])
+
+
 def test_small_clusters_are_dropped_and_the_rest_renumbered(spark):
     u = spark.createDataFrame([(f"n{i}", k, 0.5) for k, n in ((0, 3), (2, 10), (5, 12)) for i in range(n)], "node_id string, k int, u double")
     got = {r["subgraph_id"]: r["count"] for r in experts.build_experts(u).groupBy("subgraph_id").count().collect()}
@@ -91,7 +107,56 @@ def test_group_without_vectors_or_edges_is_empty(spark):
     groups = spark.createDataFrame([("Shared_X", "a", "shared")], "subgraph_id string, node_id string, kind string")
     q = spark.createDataFrame([(1, [1.0])], "query_id int, qvec array<float>")
     act = spark.createDataFrame([(1, "Shared_X")], "query_id int, subgraph_id string")
-    assert retrieval.group_search(q, nodes, edges, groups, act).count() == 0
+    found = retrieval.index(nodes, edges, groups, Scratch(spark))
+    assert retrieval.group_search(q, found, act).count() == 0
+
+
+def test_routed_search_is_the_same_with_split_groups(spark, monkeypatch):
+    g = Fixture(spark, DIR)
+    active = g.queries.select("query_id").crossJoin(g.groups.select("subgraph_id").distinct().limit(4).cache())
+    vectors = g.groups.select("subgraph_id", "node_id").join(g.entities.select("node_id", "embedding"), "node_id").withColumnRenamed("node_id", "id")
+    one = sorted(map(tuple, retrieval.top_k_routed(g.queries, vectors, active, 5).collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST", 0)
+    assert one and sorted(map(tuple, retrieval.top_k_routed(g.queries, vectors, active, 5).collect())) == one
+
+
+def test_triples_are_encoded_as_text_and_rank_by_similarity(spark):
+    nodes = spark.createDataFrame([("a", "Alice", "c1"), ("b", "Bob", "c2"), ("c", "Cyd", "c3")], "node_id string, name string, chunk_id string")
+    edges = spark.createDataFrame([("a", "b", "knows", 0), ("a", "c", "hates", 0), ("b", "a", "paints", 0)], "src string, dst string, relation string, ekey int")
+    encoder = HashingEncoder(64)
+    vec = retrieval.triple_vectors(nodes, edges, encoder)
+    got = {r["relation"]: np.array(r["embedding"]) for r in vec.collect()}
+    assert got["knows"] == pytest.approx(encoder(["Alice knows Bob"])[0], abs=1e-6)
+    hits = spark.createDataFrame([(1, "g", "a", 0.5, 1)], "query_id int, subgraph_id string, id string, score double, rank int")
+    q = spark.createDataFrame([(1, encoder(["Alice hates Cyd"])[0].tolist())], "query_id int, qvec array<double>")
+    records = retrieval.expand(hits, nodes, successors(edges), q, vec.drop("triple_id"))
+    ranked = retrieval.fuse_triples(records).orderBy("rank").collect()
+    assert [r["relation"] for r in ranked] == ["hates", "knows"] and ranked[0]["similarity"] == pytest.approx(1.0, abs=1e-5)
+
+
+def test_sets_merge_by_shared_nodes_and_by_edges(spark):
+    g = Fixture(spark, DIR)
+    few = g.entities.filter("cast(substring(node_id, 8) as int) < 60").select("node_id")
+    thin = g.edges.filter("pmod(seq, 40) = 0")
+    for edges, sets in ((None, graph.ego_sets(thin, few)), (thin, graph.ego_sets(thin.filter("src > dst"), few))):
+        rows = [tuple(r) for r in sets.select("hub", "node_id").collect()]
+        root = {h: h for h, _ in rows}
+        said = [(h, k) for h, a in rows for k, b in rows if a == b]
+        if edges is not None:
+            links = {(r["src"], r["dst"]) for r in edges.collect()}
+            said += [(h, k) for h, a in rows for k, b in rows if (a, b) in links]
+        for _ in root:
+            for h, k in said:
+                root[h] = root[k] = min(root[h], root[k])
+        assert len(set(root.values())) < len(root)
+        want = {(root[h], n) for h, n in rows}
+        assert {tuple(r) for r in graph.merge_sets(sets, edges).select("group_id", "node_id").collect()} == want
+
+
+def test_short_names_are_found(spark):
+    kw = spark.createDataFrame([("ex",), ("a",), ("exp",), ("",)], "keyword string")
+    g = spark.createDataFrame([("Expert_1",), ("A",)], "subgraph_id string")
+    assert sorted(tuple(r) for r in memberships.keyword_links(kw, g).collect()) == [("a", "A"), ("ex", "Expert_1"), ("exp", "Expert_1")]
 
 
 def test_keyword_links(spark):
