@@ -70,38 +70,35 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return offsets - offsets[0], coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
 
 
-def gather(pieces: list[bytes], codes: np.ndarray, offsets: np.ndarray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-    """The concatenated ``pieces[code]`` as items of ``dtype``, and where each text's items begin (and the last end)."""
-    size = np.dtype(dtype).itemsize
-    lens = np.fromiter(map(len, pieces), np.int64, len(pieces)) // size
-    flat = np.frombuffer(b"".join(pieces), dtype)
+def joined(flat: np.ndarray, lens: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``lens`` items that lie one after the other in ``flat``, in the order of ``codes``, and where each one's items begin (and the last end)."""
     n = lens[codes]
     ends = np.concatenate(([0], np.cumsum(n)))
     at = np.repeat((np.cumsum(lens) - lens)[codes] - ends[:-1], n)
     at += np.arange(len(at))
-    return flat[at], ends[offsets]
+    return flat[at], ends
 
 
-class Recent:
-    """A cache in two halves: a full new half replaces the old one, entries asked for move on."""
+class Known:
+    """Strings with a piece of items each (or several, of different types), all in flat arrays; strings are only ever added."""
 
-    def __init__(self):
-        self.new: dict = {}
-        self.old: dict = {}
+    def __init__(self, *dtypes: type):
+        self.keys = pa.array([], pa.large_string())
+        self.flat, self.lens = [np.zeros(0, t) for t in dtypes], [np.zeros(0, np.int64) for _ in dtypes]
 
-    def turn(self, limit: int) -> None:
-        """Between batches: start a new half once this one is full."""
-        if len(self.new) > limit:
-            self.old, self.new = self.new, {}
+    def codes(self, keys: pa.Array) -> np.ndarray:
+        """The place of each string, -1 for new ones."""
+        return pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def known(self, key: str | bytes) -> bool:
-        """Whether the key is in the new half, by now."""
-        if key in self.new:
-            return True
-        if (got := self.old.get(key)) is not None:
-            self.new[key] = got
-            return True
-        return False
+    def add(self, keys: pa.Array, *pieces: tuple[np.ndarray, np.ndarray]) -> None:
+        """Add strings with their pieces, each kind as its items and their numbers."""
+        self.keys = pa.concat_arrays([self.keys, keys])
+        for i, (flat, lens) in enumerate(pieces):
+            self.flat[i], self.lens[i] = np.concatenate((self.flat[i], flat)), np.concatenate((self.lens[i], lens))
+
+    def take(self, codes: np.ndarray, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of the strings at some places."""
+        return joined(self.flat[kind], self.lens[kind], codes)
 
 
 def give_back() -> None:

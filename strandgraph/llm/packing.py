@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandgraph.llm.arrowutil import give_back, text_blocks
+from strandgraph.llm.arrowutil import Known, give_back, joined, text_blocks
 from strandgraph.storage import Scratch
 
 #: Parts of words that a task keeps with their ids; beyond, it starts anew.
@@ -37,30 +37,6 @@ _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequ
 _FIELDS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
-class Known:
-    """Strings with their ids, all in flat arrays; strings are only ever added."""
-
-    def __init__(self):
-        self.keys = pa.array([], pa.large_string())
-        self.ids, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def codes(self, keys: pa.Array) -> np.ndarray:
-        """The place of each string, -1 for new ones."""
-        return pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-
-    def add(self, keys: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
-        self.keys = pa.concat_arrays([self.keys, keys])
-        self.ids, self.lens = np.concatenate((self.ids, ids)), np.concatenate((self.lens, lens))
-
-    def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the strings at some places, one after the other, and where each one's begin (and the last end)."""
-        n = self.lens[codes]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        at = np.repeat((np.cumsum(self.lens) - self.lens)[codes] - ends[:-1], n)
-        at += np.arange(len(at))
-        return self.ids[at], ends
-
-
 class WordTokenizer:
     """A tokenizer whose pre-tokenizer drops white space and splits words by a pattern.
 
@@ -80,7 +56,7 @@ class WordTokenizer:
 
     def forget(self) -> None:
         """Drop the parts met so far."""
-        self.parts = Known()
+        self.parts = Known(np.uint32)
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, without special tokens added, and where each text's begin (and the last end)."""
@@ -90,12 +66,11 @@ class WordTokenizer:
         del lists
         if len(self.parts.keys) > CACHE:
             self.forget()
-        words = self._words(coded.dictionary)
-        ids, ends = words.take(coded.indices.to_numpy())
+        ids, ends = joined(*self._words(coded.dictionary), coded.indices.to_numpy())
         return ids, ends[offsets - offsets[0]]
 
-    def _words(self, words: pa.Array) -> Known:
-        """The ids of distinct words, at their places."""
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after the other, and their numbers."""
         easy = pc.match_substring_regex(words, self.simple)
         got = [np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32) for w in words.filter(pc.invert(easy)).to_pylist()]
         simple = pc.utf8_lower(pc.if_else(easy, words, pa.scalar("", words.type)))
@@ -112,15 +87,14 @@ class WordTokenizer:
             tokens = tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(table))
             ids += [t.id for t in tokens]
             lens.append(len(tokens))
-        self.parts.add(new, np.array(ids, np.uint32), np.array(lens, np.int64))
+        self.parts.add(new, (np.array(ids, np.uint32), np.array(lens, np.int64)))
         ids, ends = self.parts.take(codes[coded.indices.to_numpy()])
-        out = Known()
-        out.ids, out.lens = ids, np.diff(ends[n])
+        of_word = np.diff(ends[n])
         if got:  # what the library encoded goes where its words stand
             hard = np.flatnonzero(~easy.to_numpy(zero_copy_only=False))
-            out.ids = np.insert(ids, np.repeat(ends[n[hard]], [len(g) for g in got]), np.concatenate(got))
-            out.lens[hard] = [len(g) for g in got]
-        return out
+            ids = np.insert(ids, np.repeat(ends[n[hard]], [len(g) for g in got]), np.concatenate(got))
+            of_word[hard] = [len(g) for g in got]
+        return ids, of_word
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

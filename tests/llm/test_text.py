@@ -49,10 +49,16 @@ def test_byte_tokens_are_the_librarys(monkeypatch):
     assert bpe.decode_ids(np.array(want.encode_ordinary("été 日"), np.uint32).tobytes(), BYTE, P.PATTERN) == "été 日".encode()
 
 
-def test_bpe_query_round_trip(spark):
+def test_bpe_query_is_the_librarys_for_every_document(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").toPandas().set_index("doc_id")["text"]
-    for r in queries.op9_bpe(spark, DIR).collect():
-        assert r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTE, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = queries.op9_bpe(spark, DIR).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        ids = library.encode_ordinary(docs[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode_bytes(ids)).hexdigest() == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest()
     odd = spark.createDataFrame([(1, None, 0), (None, "", 0), (2, "a", 0), (2, "a", 0)], "doc_id long, text string, ids int")
     assert sorted(r["n_tokens"] for r in bpe.digests(odd, BYTE, P.PATTERN).collect()) == [0, 0, 1, 1]
     assert bpe.encode(odd.limit(0), BYTE, P.PATTERN).count() == 0
