@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.llm.arrowutil import give_back
-from strandgraph.llm.langid import CLASSES, held_out, letter_codes, trigram_counts
+from strandgraph.llm.langid import held_out
+from strandgraph.llm.letters import CLASSES, letter_codes, trigram_counts
 
 #: Labelled rows that the lexicon and the logistic model are fitted on at most; the lexicon holds what they hold.
 LABELLED = 20_000

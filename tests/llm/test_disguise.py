@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 from strandgraph.llm import toxicity
-from strandgraph.llm.langid import CLASSES, letter_codes, trigram_counts
+from strandgraph.llm.letters import CLASSES, letter_codes, trigram_counts
 
 
 @pytest.fixture(scope="module")

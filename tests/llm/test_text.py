@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -150,13 +151,46 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_hyperdimensional_binding():
-    v = langid.trigram_vectors()
-    a, b, c = 1, 2, 3
-    assert not np.array_equal(v[(a * 40 + b) * 40 + c], v[(c * 40 + b) * 40 + a])
-    n = langid.trigram_counts(langid.letter_codes("Ab, c"))
-    assert n.sum() == 4  # _ab ab_ b_c _c_
-    assert langid.bundle(n).shape == (langid.DIM,)
+def _plain_profile(text):
+    """The bundle of a text's trigrams, one by one."""
+    padded = "_" + re.sub(r"[^a-zäöüßéèà日本]+", "_", text.lower()).strip("_") + "_"
+    v = {c: langid.letter_vectors(np.array([0 if c == "_" else ord(c)], np.uint64))[0].astype(int) for c in set(padded)}
+    total = np.zeros(langid.DIM, int)
+    for a, b, c in zip(padded, padded[1:], padded[2:], strict=False):
+        total += np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
+    return total
+
+
+def test_hyperdimensional_profiles():
+    x = langid.letter_vectors(np.arange(0x4E00, 0x4E00 + 200, dtype=np.uint64)).astype(int)
+    cos = x @ x.T / langid.DIM
+    np.fill_diagonal(cos, 0)
+    assert np.abs(cos).max() < 0.3  # letters of any script have vectors of their own
+    for text in ("Ab, c", "Die Straße  ändert--sich", "日本 日本語"[:5], "a"):
+        (bound, codes, ends), *_ = langid._blocks(pa.array([text]))
+        assert (langid.bundle(codes[ends[0] : ends[1]], bound) == _plain_profile(text)).all()
+    (bound, codes, ends), *_ = langid._blocks(pa.array(["12 !!", "ab", None, "".join(map(chr, range(0x4E00, 0x4F00)))]))
+    assert ends.tolist() == [0, 0, 2, 2, 258] and len(np.unique(codes)) == 258  # gaps alone, and too many letters for a table
+
+
+def test_language_query_against_plain_profiles(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang").collect()
+    profile = {}
+    for r in docs:
+        (bound, codes, ends), *_ = langid._blocks(pa.array([r["text"] or ""]))
+        profile[r["doc_id"]] = langid.bundle(codes, bound).astype(np.float64)
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in docs}
+    langs = sorted({r["lang"] for r in docs if r["lang"] is not None and not held[r["doc_id"]]})
+    protos = np.array([sum(profile[r["doc_id"]] for r in docs if r["lang"] == x and not held[r["doc_id"]]) for x in langs])
+    protos /= np.linalg.norm(protos, axis=1, keepdims=True)
+    for r in queries.op8_langid(spark, DIR).collect():
+        v = profile[r["doc_id"]]
+        assert r["held_out"] == held[r["doc_id"]]
+        if not v.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            cos = protos @ v / np.linalg.norm(v)
+            assert r["score"] == pytest.approx(min(max(cos.max(), 0), 1)) and r["lang_pred"] == langs[int(cos.argmax())]
 
 
 def _toxic_docs(spark):
