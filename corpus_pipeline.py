@@ -1,7 +1,22 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Documents are long, so batches of rows that go to Python are kept to ``BATCH``
+rows where the session has no other setting: both sides hold a few batches for
+each running task.
+
+Defined results, as each stage's operator states them: rows with a null or empty
+text are scored like any other, fail the base rules, are untouched by line
+dedup, are copies of each other, and pack as one end token; rows that repeat an
+id and text are judged alike, and near dedup keeps one of them; rows with a null
+id stay in near dedup; other columns, whatever their names, pass through all
+stages but the last; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -9,6 +24,11 @@ from strandgraph.llm import linededup, nearcopies, packing, rules, toxicity
 from strandgraph.storage import Scratch
 
 
+#: Rows of a batch for Python, and the setting's own default.
+BATCH, DEFAULT = "2000", "10000"
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -38,15 +58,28 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _short_batches(stage: Callable) -> Callable:
+    """The stage, with batches of ``BATCH`` rows unless the session says otherwise."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(_SETTING, DEFAULT) == DEFAULT:
+            spark.conf.set(_SETTING, BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("quality rules", drop_low_quality),
+    ("toxicity", _short_batches(drop_toxic)),
+    ("quality rules", _short_batches(drop_low_quality)),
     ("line dedup", drop_repeated_lines),
-    ("simhash near-dedup", drop_near_duplicates),
-    ("best-fit packing", pack),
+    ("simhash near-dedup", _short_batches(drop_near_duplicates)),
+    ("best-fit packing", _short_batches(pack)),
 ]
 
-#: Learned scores and tokenization are beyond SQL; tests compare the stages with brute force.
+#: Learned scores and tokenization are beyond SQL; tests compare near dedup, packing and the rules' verdicts with brute force
+#: and the toxicity scores with labels held out.
 ORACLE_SQL = None
 
 
