@@ -173,9 +173,9 @@ def test_batches_are_not_done_twice(spark, tmp_path):
         s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
         incremental.run_batches(s, lambda df, n: incremental.merge_batch(spark, df, n, out), f"file://{tmp_path}/cp")
 
-    spark.createDataFrame([("a", "b", "r")], schema).write.mode("append").parquet(src)
+    spark.createDataFrame([("a", "b", "r")], schema).coalesce(1).write.mode("append").parquet(src)
     run()
-    spark.createDataFrame([("a", "b", "r"), ("b", "c", "r")], schema).write.mode("append").parquet(src)
+    spark.createDataFrame([("a", "b", "r"), ("b", "c", "r")], schema).coalesce(1).write.mode("append").parquet(src)
     run()
     run()
     assert incremental.graph_of(spark, out).count() == 2
