@@ -7,10 +7,15 @@ would have produced them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strandgraph.functions.vectors import dot, l2_squared, normalise
 from strandgraph.hooks import Encoder, encode
@@ -30,41 +35,113 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, by: list[str]
     """``queries(query_id, qvec)`` against ``vectors(id, embedding[, by])``: the ``k`` best per query (and group), exactly.
 
     The stated queries meet all vectors as a block; each task keeps its own
-    ``k`` best per query before the shuffle.
+    best per query before the shuffle.  Vectors that are null, hold a null or
+    have another width than the query's are not found.
     """
     by = by or []
+    if metric == "ip" and len(by) <= 1 and queries.count() <= BROADCAST:
+        return _ranked(_block_scores(queries, vectors, k, by), by, k)
     score = F.round(dot(F.col("qvec"), F.col("unit")), _DIGITS) if metric == "ip" else F.round(-l2_squared(F.col("qvec"), F.col("embedding")), _DIGITS)
     unit = vectors.withColumn("unit", normalise(F.col("embedding"), 1e-12)) if metric == "ip" else vectors
     q = queries.withColumn("qvec", normalise(F.col("qvec"), 1e-12)) if metric == "ip" else queries
-    pairs = unit.crossJoin(q).select("query_id", *by, "id", score.alias("score"))
-    w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return _ranked(unit.crossJoin(q).select("query_id", *by, "id", score.alias("score")), by, k)
 
 
 def top_k_routed(queries: DataFrame, vectors: DataFrame, active: DataFrame, k: int = TOP_K) -> DataFrame:
     """As ``top_k`` by ``subgraph_id``, but a query only meets vectors of its ``active(query_id, subgraph_id)`` groups."""
-    unit = vectors.withColumn("unit", normalise(F.col("embedding"), 1e-12)).drop("embedding")
-    q = active.join(queries.withColumn("qvec", normalise(F.col("qvec"), 1e-12)), "query_id")
+    by = ["subgraph_id"]
+    q = active.select("query_id", *by).join(queries, "query_id")
     if active.count() <= BROADCAST:
-        pairs = unit.join(F.broadcast(q), "subgraph_id")
-    else:  # a group may hold most vectors
-        unit = unit.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALT)))
-        pairs = unit.join(q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))), ["subgraph_id", "part"])
-    pairs = pairs.select("query_id", "subgraph_id", "id", F.round(dot(F.col("qvec"), F.col("unit")), _DIGITS).alias("score"))
-    w = Window.partitionBy("query_id", "subgraph_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return _ranked(_block_scores(q, vectors, k, by, routed=True), by, k)
+    # a group may hold most vectors
+    unit = vectors.withColumn("unit", normalise(F.col("embedding"), 1e-12)).drop("embedding").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALT)))
+    q = q.withColumn("qvec", normalise(F.col("qvec"), 1e-12)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    pairs = unit.join(q, [*by, "part"])
+    return _ranked(pairs.select("query_id", *by, "id", F.round(dot(F.col("qvec"), F.col("unit")), _DIGITS).alias("score")), by, k)
 
 
-def expand(hits: DataFrame, nodes: DataFrame, near: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+def _ranked(pairs: DataFrame, by: list[str], k: int) -> DataFrame:
+    w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "id")
+    return pairs.filter("score is not null").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _whole(lists: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width: places of the vectors without nulls, and these as unit rows."""
+    width = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(lists)
+    gaps = np.zeros(len(width), bool)
+    if flat.null_count:
+        gaps[np.repeat(np.arange(len(width)), width)[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+    begin = np.concatenate(([0], np.cumsum(width)))[:-1]
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    out = {}
+    for d in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero((width == d) & ~gaps)
+        m = values.reshape(-1, d) if len(rows) * d == len(values) else values[begin[rows][:, None] + np.arange(d)]
+        out[d] = rows, m / (np.sqrt(np.einsum("ij,ij->i", m, m)) + 1e-12)[:, None]
+    return out
+
+
+def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, by: list[str], routed: bool = False) -> DataFrame:
+    """``(query_id, *by, id, score)`` as products of blocks; of each block the ``k`` best per query and group, and all within rounding of them.
+
+    ``queries`` are at most ``BROADCAST`` rows; with ``routed`` a row meets the vectors of its own group only.
+    """
+    stated = queries.select("query_id", *(by if routed else []), "qvec").toArrow().combine_chunks()
+    one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    names, units = one(stated["query_id"]), _whole(one(stated["qvec"]))
+    of: dict = {}
+    for d, (rows, m) in units.items():
+        where = one(stated[by[0]]).to_pylist() if routed else [None] * len(names)
+        for i, row in enumerate(rows.tolist()):
+            of.setdefault((d, where[row]), []).append(i)
+    held = vectors.sparkSession.sparkContext.broadcast((names, units, {key: np.array(v) for key, v in of.items()}))
+    near = 2 * 10.0**-_DIGITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, units, of = held.value
+        for batch in batches:
+            group = batch.column(2).dictionary_encode() if by else None
+            codes = group.indices.fill_null(-1).to_numpy(zero_copy_only=False) if by else np.zeros(batch.num_rows, np.int64)
+            for d, (rows, m) in _whole(batch.column(1)).items():
+                if d not in units:
+                    continue
+                for code in np.unique(codes[rows]).tolist():
+                    key = group.dictionary[code].as_py() if routed and code >= 0 else None
+                    if routed and code < 0 or (mine := of.get((d, key))) is None:
+                        continue
+                    inside = np.flatnonzero(codes[rows] == code)
+                    score = m[inside] @ units[d][1][mine].T
+                    if len(inside) > k:
+                        best = np.partition(score, len(inside) - k, axis=0)[len(inside) - k]
+                        r, c = np.nonzero(~(score < best - near))
+                    else:
+                        r, c = np.nonzero(np.ones(score.shape, bool))
+                    at = pa.array(rows[inside[r]])
+                    cols = [names.take(pa.array(units[d][0][mine[c]])), *([batch.column(2).take(at)] if by else []), batch.column(0).take(at), pa.array(score[r, c])]
+                    yield pa.RecordBatch.from_arrays(cols, ["query_id", *by, "id", "score"])
+
+    schema = StructType([queries.schema["query_id"], *[vectors.schema[c] for c in by], vectors.schema["id"], StructField("score", DoubleType())])
+    schema = StructType([StructField(f.name, f.dataType) for f in schema])
+    return vectors.select("id", "embedding", *by).mapInArrow(run, schema).withColumn("score", F.round("score", _DIGITS))
+
+
+def links(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``graph.successors`` of the edges with ``unit``, the unit vector of the triple in ``vectors(src, relation, dst, embedding)``, null without one."""
+    units = vectors.select("src", "relation", "dst", normalise(F.col("embedding"), 1e-12).alias("unit"))
+    return successors(edges).join(units, ["src", "relation", "dst"], "left")
+
+
+def expand(hits: DataFrame, nodes: DataFrame, near: DataFrame, queries: DataFrame) -> DataFrame:
     """Entity records: each hit's successors, then the hit itself, ``(query_id, subgraph_id, entity_id, chunk_id, similarity, src, relation, dst, path, seq)``.
 
-    ``near`` is ``graph.successors`` of the edges and ``vectors(src, relation,
-    dst, embedding)`` those of triples.  A successor's similarity is its
+    ``near`` are the ``links`` of the edges.  A successor's similarity is its
     triple's with the query, 0 where the triple has no vector; a hit's is its score.
     """
     key = ["src", "relation", "dst"]
-    rows = hits.join(near, hits["id"] == F.col("src")).join(vectors, key, "left").join(queries, "query_id")
-    likeness = F.coalesce(F.round(dot(normalise(F.col("qvec"), 1e-12), normalise(F.col("embedding"), 1e-12)), _DIGITS), F.lit(0.0))
+    q = queries.select("query_id", normalise(F.col("qvec"), 1e-12).alias("qvec"))
+    rows = hits.join(near, hits["id"] == F.col("src")).join(q, "query_id")
+    likeness = F.coalesce(F.round(dot(F.col("qvec"), F.col("unit")), _DIGITS), F.lit(0.0))
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "subgraph_id", "rank").orderBy("dst")))
     rows = rows.select("query_id", "subgraph_id", F.col("dst").alias("entity_id"), likeness.alias("similarity"), *key, F.lit("neighbour").alias("path"), (F.col("rank") * _HIT + F.col("place")).alias("seq"))
     own = hits.select("query_id", "subgraph_id", F.col("id").alias("entity_id"), F.col("score").alias("similarity"), *[F.lit(None).cast("string").alias(c) for c in key], F.lit("entity").alias("path"), (F.col("rank") * _HIT + (_HIT - 1)).alias("seq"))
@@ -107,7 +184,7 @@ def triple_vectors(nodes: DataFrame, edges: DataFrame, encoder: Encoder | None =
 
 
 class Index(NamedTuple):
-    """What every search reads: nodes, successors, vectors of triples, and vectors by group of entities and of triples."""
+    """What every search reads: nodes, links, triples, and vectors by group of entities and of triples."""
 
     nodes: DataFrame
     near: DataFrame
@@ -121,13 +198,15 @@ def index(nodes: DataFrame, edges: DataFrame, groups: DataFrame, scratch: Scratc
     triples = scratch.write(triple_vectors(nodes, edges, encoder))
     entities = groups.select("subgraph_id", "node_id").join(nodes.filter("embedding is not null").select("node_id", "embedding"), "node_id").withColumnRenamed("node_id", "id")
     inside = groups.select("subgraph_id", F.col("node_id").alias("src")).join(triples, "src").select("subgraph_id", F.col("triple_id").alias("id"), "embedding")
-    return Index(scratch.write(nodes.select("node_id", "chunk_id")), scratch.write(successors(edges)), triples, scratch.write(entities), scratch.write(inside))
+    return Index(scratch.write(nodes.select("node_id", "chunk_id")), scratch.write(links(edges, triples)), triples, scratch.write(entities), scratch.write(inside))
 
 
-def group_search(queries: DataFrame, found: Index, active: DataFrame, k: int = TOP_K) -> DataFrame:
+def group_search(queries: DataFrame, found: Index, active: DataFrame, scratch: Scratch, k: int = TOP_K) -> DataFrame:
     """Both paths in each active group: entity records, last one per entity."""
-    by_entity = expand(top_k_routed(queries, found.entities, active, k), found.nodes, found.near, queries, found.triples.drop("triple_id"))
-    by_triple = triple_ends(top_k_routed(queries, found.inside, active, k), found.triples, found.nodes).withColumn("seq", F.col("seq") + _SEARCH)
+    # once written, the hits' size is known, so that few of them are sent to the links and triples, which then need no shuffle
+    entities, triples = [scratch.write(top_k_routed(queries, v, active, k), compact=True) for v in (found.entities, found.inside)]
+    by_entity = expand(entities, found.nodes, found.near, queries)
+    by_triple = triple_ends(triples, found.triples, found.nodes).withColumn("seq", F.col("seq") + _SEARCH)
     return last_wins(by_entity.unionByName(by_triple))
 
 
@@ -185,12 +264,12 @@ def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, groups: Dat
     found, queries = index(nodes, edges, groups, scratch, encoder), scratch.write(queries)
     hubs = groups.filter("kind = 'shared'").select("subgraph_id").distinct()
     active = scratch.write(queries.select("query_id").crossJoin(hubs), compact=True)  # three groups
-    first = scratch.write(group_search(queries, found, active, k), compact=True)
+    first = scratch.write(group_search(queries, found, active, scratch, k), compact=True)
     one = scratch.write(route(first, groups, limit).select("query_id", "subgraph_id"), compact=True)
-    second = scratch.write(group_search(queries, found, one, k), compact=True)
+    second = scratch.write(group_search(queries, found, one, scratch, k), compact=True)
     new = second.join(first.select("query_id", "entity_id").distinct(), ["query_id", "entity_id"], "left_anti")
     two = scratch.write(route(new, groups, limit).select("query_id", "subgraph_id").join(one, ["query_id", "subgraph_id"], "left_anti"), compact=True)
-    third = scratch.write(group_search(queries, found, two, k), compact=True)
+    third = scratch.write(group_search(queries, found, two, scratch, k), compact=True)
     scratch.keep_only(first, second, third, one, two)
     return first.unionByName(second).unionByName(third), one.unionByName(two)
 

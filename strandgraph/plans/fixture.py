@@ -127,10 +127,9 @@ class Fixture:
     @cached_property
     def expanded(self) -> DataFrame:
         """Entity records of the hits."""
-        from strandgraph.operators.graph import successors
-        from strandgraph.operators.retrieval import expand
+        from strandgraph.operators.retrieval import expand, links
 
-        return expand(self.hits, self.nodes, successors(self.all_edges), self.queries, self.triples.drop("triple_id"))
+        return expand(self.hits, self.nodes, links(self.all_edges, self.triples), self.queries)
 
     @cached_property
     def records(self) -> DataFrame:

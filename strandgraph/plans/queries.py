@@ -145,6 +145,78 @@ def _(g):
     return g.spark.createDataFrame([(sorted(merged["Nodes"]),)], "types array<string>")
 
 
+@_query("src04_cache_freshness", "SELECT * FROM (VALUES ('missing', false), ('empty', false), ('fresh', true), ('stale', false)) t(cache, is_fresh)", False)
+def _(g):
+    path, docs = _path(g), g.table("documents").select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
+    docs.write.parquet(f"{path}/stale")
+    docs.select("chunk_text").write.parquet(f"{path}/source")
+    fs, empty = tables._fs(g.spark, f"{path}/empty")
+    fs.mkdirs(empty)
+    docs.write.parquet(f"{path}/fresh")
+    found = [(c, tables.is_fresh(g.spark, f"{path}/source", f"{path}/{c}")) for c in ("missing", "empty", "fresh", "stale")]
+    tables.delete(g.spark, path)
+    return g.spark.createDataFrame(found, "cache string, is_fresh boolean")
+
+
+@_query("src07_stored_graph", "SELECT label, relation, count(*) AS edges FROM all_edges JOIN nodes ON src = node_id GROUP BY ALL")
+def _(g):
+    tables.write_graph(g.nodes, g.all_edges, path := _path(g))
+    nodes, edges = tables.read_graph(g.spark, path)
+    return edges.join(nodes, F.col("src") == F.col("node_id")).groupBy("label", "relation").agg(F.count("*").alias("edges"))
+
+
+@_query("src10_ontology", "SELECT 'Nodes' AS kind, p_type AS name FROM part UNION SELECT 'Relations', p_brand FROM part", False)
+def _(g):
+    kinds = g.table("part").agg(F.sort_array(F.collect_set("p_type")).alias("Nodes"), F.sort_array(F.collect_set("p_brand")).alias("Relations"))  # some tens of names
+    kinds.select(F.to_json(F.struct("*"))).coalesce(1).write.text(path := _path(g))
+    found = tables.read_ontology(g.spark, path)
+    return g.spark.createDataFrame([(kind, name) for kind, names in found.items() for name in names], "kind string, name string")
+
+
+def _results(g: Fixture, path: str) -> DataFrame:
+    """Results of all benchmark questions, stored in two appends with a summary between them."""
+    rows = g.table("benchmark").select(F.concat(F.lit("q"), "item_id").alias("question_id"), F.col("text").alias("question"), F.expr("cast(item_id % 2 as int)").alias("correct"))
+    tables.append_results(rows.filter("correct = 0"), path)
+    tables.append_results(g.spark.createDataFrame([("summary", "all")], "type string, question_id string"), path)
+    tables.append_results(rows.filter("correct = 1"), path)
+    return tables.read_results(g.spark, path)
+
+
+@_query("src15_stored_results", "SELECT 'q' || item_id AS question_id, text AS question FROM benchmark", False)
+def _(g):
+    return _results(g, _path(g)).select("question_id", "question")
+
+
+@_query("snk01_graph_json", "SELECT src, relation, count(*) AS edges FROM all_edges GROUP BY ALL")
+def _(g):
+    tables.write_graph(g.nodes, g.all_edges, path := _path(g), as_json=True)
+    return tables.read_graph_json(g.spark, f"{path}/relationships")[1].groupBy("src", "relation").agg(F.count("*").alias("edges"))
+
+
+@_query("snk04_metadata", "SELECT level, count(*) AS nodes, (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM all_edges) AS total_edges FROM nodes GROUP BY level")
+def _(g):
+    return tables.graph_metadata(g.nodes, g.all_edges, 0.0).select(F.explode("levels").alias("level", "nodes"), "total_nodes", "total_edges")
+
+
+@_query("snk06_group_index", "SELECT subgraph_id, count(*) AS vectors FROM groups JOIN entities USING (node_id) WHERE subgraph_id <> 'Shared_Semantic' GROUP BY subgraph_id")
+def _(g):
+    tables.write_group_index(g.groups, g.entities.select("node_id", "embedding"), path := _path(g))
+    grown = g.groups.select("subgraph_id", "node_id").unionByName(g.spark.createDataFrame([("Shared_Semantic", "new")], "subgraph_id string, node_id string"))  # its index is out of date
+    return tables.read_group_index(g.spark, grown, path).groupBy("subgraph_id").agg(F.count("*").alias("vectors"))
+
+
+@_query("snk07_result_append", "SELECT item_id % 2 AS correct, count(*) AS results FROM benchmark GROUP BY ALL", False)
+def _(g):
+    return _results(g, _path(g)).groupBy(F.col("correct").cast("long").alias("correct")).agg(F.count("*").alias("results"))
+
+
+@_query("snk10_hub_vectors_cleared", "SELECT subgraph_id, count(*) AS vectors FROM groups JOIN entities USING (node_id) WHERE kind = 'expert' GROUP BY subgraph_id")
+def _(g):
+    tables.write_group_index(g.groups, g.entities.select("node_id", "embedding"), path := _path(g))
+    tables.clear_vectors(g.spark, path, hubs_only=True)
+    return g.spark.read.parquet(path).groupBy("subgraph_id").agg(F.count("*").alias("vectors"))
+
+
 # --- projections and filters -------------------------------------------------
 
 
@@ -447,6 +519,22 @@ def _(g):
     return retrieval.top_k(g.queries, g.entities.select(F.col("node_id").alias("id"), "embedding"), metric="l2").select("query_id", "id", (-F.col("score") + 0.0).alias("distance"))
 
 
+@_query("top03_entity_index", "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pairs) WHERE rank <= 7")
+def _(g):
+    tables.write_vectors(g.entities.select(F.col("node_id").alias("id"), "embedding"), path := _path(g))
+    return retrieval.top_k(g.queries, g.spark.read.parquet(path), 7).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@_query("top09_latest_result", "SELECT 'run_2' AS latest, true AS none_elsewhere", False)
+def _(g):
+    path = _path(g)
+    for name in ("run_1", "other_3", "run_2"):
+        tables.append_results(g.spark.createDataFrame([("q", 1)], "question_id string, correct int"), f"{path}/{name}")
+    found, none = tables.latest(g.spark, path, "run_"), tables.latest(g.spark, f"{path}/absent", "run_")
+    tables.delete(g.spark, path)
+    return g.spark.createDataFrame([(found.rsplit("/", 1)[1], none is None)], "latest string, none_elsewhere boolean")
+
+
 @_query("top04_chunks", ", s AS (SELECT query_id, chunk_id AS id, round(list_inner_product(e, q), 6) AS score FROM chunk_vectors, queries) SELECT query_id, id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20")
 def _(g):
     return retrieval.top_k(g.queries, g.chunk_vectors.withColumnRenamed("chunk_id", "id")).select("query_id", "id", "score")
@@ -478,6 +566,13 @@ def _(g):
 # --- set operations ----------------------------------------------------------
 
 
+@_query("set04_right_wins", "SELECT 'c' || doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END AS chunk_text FROM documents", False)
+def _(g):
+    docs = g.table("documents").select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), "doc_id", "lang")
+    tables.write_chunks(g.spark, docs.select("chunk_id", F.col("lang").alias("chunk_text")), path := _path(g))
+    return tables.write_chunks(g.spark, docs.filter("doc_id % 3 = 0").select("chunk_id", F.upper("lang").alias("chunk_text")), path)
+
+
 @_query("set01_union", "SELECT DISTINCT node_id FROM groups WHERE kind = 'shared'")
 def _(g):
     return g.groups.filter("kind = 'shared'").select("node_id").distinct()
@@ -620,8 +715,9 @@ lw AS (SELECT query_id, subgraph_id, entity_id, arg_max({'similarity': similarit
 SELECT query_id, subgraph_id, entity_id, r.similarity AS similarity, r.src AS src, r.relation AS relation, r.dst AS dst, path, chunk_id FROM lw JOIN nodes ON node_id = entity_id""")
 def _(g):
     hubs_ = g.groups.filter("kind = 'shared'").select("subgraph_id").distinct()
-    found = retrieval.index(g.nodes, g.edges, g.groups, Scratch(g.spark))
-    return retrieval.group_search(g.queries, found, g.queries.select("query_id").crossJoin(hubs_)).select("query_id", "subgraph_id", "entity_id", "similarity", "src", "relation", "dst", "path", "chunk_id")
+    scratch = Scratch(g.spark)
+    found = retrieval.index(g.nodes, g.edges, g.groups, scratch)
+    return retrieval.group_search(g.queries, found, g.queries.select("query_id").crossJoin(hubs_), scratch).select("query_id", "subgraph_id", "entity_id", "similarity", "src", "relation", "dst", "path", "chunk_id")
 
 
 @_query("rt06_router", "SELECT query_id, subgraph_id, votes FROM active")
@@ -632,8 +728,8 @@ def _(g):
 @_query("rt07_four_phases")
 def _(g):
     kept = Scratch(g.spark)  # all phases read these
-    nodes, edges, groups = kept.write(g.nodes), kept.write(g.edges), kept.write(g.groups)
-    records, _active = retrieval.retrieve(g.queries, nodes, edges, groups)
+    g.nodes, g.edges = kept.write(g.nodes), kept.write(g.edges)
+    records, _active = retrieval.retrieve(g.queries, g.nodes, g.edges, kept.write(g.groups))
     return retrieval.fuse(g.queries, records, g.chunk_vectors)
 
 
@@ -775,6 +871,12 @@ def _(g):
     return incremental.graph_of(g.spark, f"{base}/out")
 
 
+@_query("inc02_question_resume", "SELECT 'q' || item_id AS question_id FROM benchmark WHERE item_id % 2 = 1", False)
+def _(g):
+    done = _results(g, _path(g)).filter("correct = 0")
+    return content.unprocessed(g.table("benchmark").select(F.concat(F.lit("q"), "item_id").alias("question_id")), done, "question_id")
+
+
 @_query("inc03_build_graph", "SELECT name, CASE WHEN name LIKE 'label:%' THEN 'attribute' ELSE 'entity' END AS label FROM (SELECT src AS name FROM raw UNION SELECT dst FROM raw UNION SELECT node_id FROM entities UNION SELECT 'label: ' || l FROM entities)")
 def _(g):
     from strandgraph.construct import build_graph

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from strandgraph.hooks import HashingEncoder
 from strandgraph.operators import experts, graph, memberships, retrieval
-from strandgraph.operators.graph import successors
 from strandgraph.plans.fixture import Fixture
 from strandgraph.storage import Scratch
 
@@ -107,8 +106,24 @@ def test_group_without_vectors_or_edges_is_empty(spark):
     groups = spark.createDataFrame([("Shared_X", "a", "shared")], "subgraph_id string, node_id string, kind string")
     q = spark.createDataFrame([(1, [1.0])], "query_id int, qvec array<float>")
     act = spark.createDataFrame([(1, "Shared_X")], "query_id int, subgraph_id string")
-    found = retrieval.index(nodes, edges, groups, Scratch(spark))
-    assert retrieval.group_search(q, found, act).count() == 0
+    scratch = Scratch(spark)
+    assert retrieval.group_search(q, retrieval.index(nodes, edges, groups, scratch), act, scratch).count() == 0
+
+
+def test_search_equals_plain_products_on_odd_vectors(spark, monkeypatch):
+    rows = [("a", "g", [1.0, 0.0]), ("b", "g", [2.0, 0.0]), ("c", "g", [1.0, 1e-4]), ("d", "h", [0.0, 1.0]), ("e", None, [1.0, 1.0]), ("f", "g", None), ("i", "g", [1.0, None]), ("j", "g", []), ("k", "h", [0.0, 0.0]), ("l", "g", [1.0, 2.0, 3.0]), ("a", "g", [1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "id string, subgraph_id string, embedding array<double>")
+    q = spark.createDataFrame([(1, [3.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [1.0, 1.0, 1.0])], "query_id int, qvec array<float>")
+    active = spark.createDataFrame([(1, "g"), (2, "h"), (4, "g"), (4, "none"), (3, "g")], "query_id int, subgraph_id string")
+
+    def every(v):
+        said = [retrieval.top_k(q, v, 2, ["subgraph_id"]), retrieval.top_k(q, v, 2), retrieval.top_k_routed(q, v, active, 2)]
+        return [sorted(map(str, d.select(*sorted(d.columns)).collect())) for d in said]
+
+    got, none = every(vectors), every(vectors.limit(0))
+    assert len(got[2]) == 5 and none == [[], [], []]  # two of g for 1, two of h for 2, the wide one for 4
+    monkeypatch.setattr(retrieval, "BROADCAST", 0)
+    assert every(vectors) == got and every(vectors.limit(0)) == none
 
 
 def test_routed_search_is_the_same_with_split_groups(spark, monkeypatch):
@@ -129,7 +144,7 @@ def test_triples_are_encoded_as_text_and_rank_by_similarity(spark):
     assert got["knows"] == pytest.approx(encoder(["Alice knows Bob"])[0], abs=1e-6)
     hits = spark.createDataFrame([(1, "g", "a", 0.5, 1)], "query_id int, subgraph_id string, id string, score double, rank int")
     q = spark.createDataFrame([(1, encoder(["Alice hates Cyd"])[0].tolist())], "query_id int, qvec array<double>")
-    records = retrieval.expand(hits, nodes, successors(edges), q, vec.drop("triple_id"))
+    records = retrieval.expand(hits, nodes, retrieval.links(edges, vec), q)
     ranked = retrieval.fuse_triples(records).orderBy("rank").collect()
     assert [r["relation"] for r in ranked] == ["hates", "knows"] and ranked[0]["similarity"] == pytest.approx(1.0, abs=1e-5)
 
