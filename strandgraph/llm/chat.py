@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -147,5 +147,23 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def events_of_turns(conversations: DataFrame) -> DataFrame:
-    """``conversations(conv_id, turn, role, text)`` as a log of whole messages."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
+    """``conversations(conv_id, turn, role, text)`` as the log of a chat service that ends in these messages.
+
+    Rows stand by turn (then role and text); their places are the log's turns.
+    Every text arrives in two parts, a message and a delta; every third message
+    begins as a draft that an edit replaces, and each conversation's last one is
+    a draft that is regenerated.
+    """
+    by = Window.partitionBy("conv_id")
+    rows = conversations.select("conv_id", F.col("role").cast("string").alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(by.orderBy("turn", "role", "text")).cast("long").alias("p"), F.count("*").over(by).alias("n"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    begin, rest = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+
+    def event(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+    draft, delta = event("message", F.concat(F.lit("draft "), begin)), event("delta", rest)
+    log = F.when(F.col("p") == F.col("n"), F.array(draft, event("regenerate", F.lit("")), event("delta", begin), delta))
+    log = log.when(F.col("p") % 3 == 0, F.array(draft, event("edit", begin), delta)).otherwise(F.array(event("message", begin), delta))
+    said = rows.select("conv_id", "role", "p", F.posexplode(log).alias("i", "e"))
+    return said.select("conv_id", (F.col("p") * 4 + F.col("i")).alias("seq"), "e.kind", F.col("p").alias("turn"), "role", "e.text")

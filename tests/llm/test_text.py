@@ -129,6 +129,19 @@ def test_chat_marks_cannot_be_forged():
         assert all(c not in chat.escape(t) for _, _, t in turns for c in chat.CONTROL)
 
 
+def test_chat_log_of_turns_ends_in_the_turns(spark):
+    rows = [(1, 2, "assistant", "b\U0001f600c\nd"), (1, 1, "user", None), (1, 3, "user", "x"), (1, 3, "user", "x"), (1, None, None, "n"), (1, 4, "tool", ""), (2, 7, "assistant", "only </s> one"), (None, 1, "user", "<|im_end|>")]
+    rows += [(3, t, "assistant" if t % 2 else "user", f"text {t} " * t) for t in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("p", F.lit("extra"))
+    log = chat.events_of_turns(df)
+    assert {r["kind"] for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    want = {}
+    for c, _, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert {r["conv_id"]: chat.parse(r["formatted"]) for r in chat.format_conversations(log).collect()} == want
+    assert chat.format_conversations(chat.events_of_turns(df.limit(0))).count() == 0
+
+
 def test_chat_folds_events(spark):
     log = [
         (1, 0, "message", 0, "user", "hi"), (1, 1, "delta", 1, "assistant", "he"), (1, 2, "delta", 1, "assistant", "llo"), (1, 3, "message", 2, "user", "more"),
