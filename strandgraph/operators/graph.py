@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.operators.components import components
+from strandgraph.operators.extract import number
+from strandgraph.storage import Scratch
 
 #: Bytes of adjacency that are sent to every task for betweenness at most.
 MAX_ADJACENCY = 512 << 20
@@ -44,41 +46,43 @@ def degree_centrality(ids: DataFrame, edges: DataFrame) -> DataFrame:
 def betweenness(ids: DataFrame, edges: DataFrame, sources: int = 1000, seed: int = 0) -> DataFrame:
     """``(node_id, betweenness)`` on the undirected simple graph, normalised, from at most ``sources`` source nodes by hash.
 
-    Each task runs Brandes' accumulation for its sources on the adjacency that
-    it is sent; a graph whose adjacency passes ``MAX_ADJACENCY`` is refused, as
-    is usual for exact shortest-path counts.
+    Nodes are numbered and edges joined to their numbers as tables; each task
+    runs Brandes' accumulation for its sources on the adjacency that it is sent.
+    A graph whose adjacency passes ``MAX_ADJACENCY`` is refused before anything
+    is gathered, as is usual for exact shortest-path counts.
     """
     spark = ids.sparkSession
-    order = [r[0] for r in ids.select("node_id").orderBy("node_id").toLocalIterator()]
-    n = len(order)
-    pairs = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    m = pairs.count()
+    scratch = Scratch(spark)
+    nodes = scratch.write(number(ids.select("node_id", F.lit(0).alias("one")), "one", "node_id", "i").select("node_id", F.col("i").cast("long").alias("i")))
+    a, b = [nodes.select(F.col("node_id").alias(end), F.col("i").alias(name)) for end, name in (("src", "a"), ("dst", "b"))]
+    inner = edges.filter("src <> dst").select("src", "dst").join(a, "src").join(b, "dst")
+    pairs = scratch.write(inner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), compact=True)
+    n, m = nodes.count(), pairs.count()
     if 16 * m + 8 * n > MAX_ADJACENCY:
         raise ValueError(f"{m} edges are more than one task may hold")
-    at = {x: i for i, x in enumerate(order)}
-    got = pairs.toPandas()
-    a, b = got["a"].map(at).to_numpy(), got["b"].map(at).to_numpy()
-    src, dst = np.concatenate((a, b)).astype(np.int64), np.concatenate((b, a)).astype(np.int64)
+    got = pairs.toArrow()
+    a, b = got["a"].to_numpy(), got["b"].to_numpy()
+    src, dst = np.concatenate((a, b)), np.concatenate((b, a))
     by = np.argsort(src, kind="stable")
     dst, start = dst[by], np.searchsorted(src[by], np.arange(n + 1))
     k = min(sources, n)
-    picked = ids.select("node_id").orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id").limit(k).select(F.col("node_id").alias("source"))
-    held = spark.sparkContext.broadcast((at, dst, start))
+    picked = nodes.orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id").limit(k).select("i")
+    held = spark.sparkContext.broadcast((dst, start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, dst, start = held.value
+        dst, start = held.value
         total = np.zeros(n)
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                total += _dependency(at[s], dst, start, n)
+                total += _dependency(s, dst, start, n)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["i", "v"])
 
     parts = max(1, min(k, spark.sparkContext.defaultParallelism))
     sums = picked.repartition(parts).mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
-    names = spark.createDataFrame([(i, x) for i, x in enumerate(order)], "i long, node_id string") if n else spark.createDataFrame([], "i long, node_id string")
+    scratch.keep_only(nodes)
     scale = 0.0 if n <= 2 else 1.0 / ((n - 1) * (n - 2)) * (n / k)
-    return names.join(sums, "i", "left").select("node_id", (F.coalesce("v", F.lit(0.0)) * scale).alias("betweenness"))
+    return nodes.join(sums, "i", "left").select("node_id", (F.coalesce("v", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def _dependency(s: int, dst: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
