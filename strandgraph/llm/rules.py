@@ -1,13 +1,15 @@
 """Quality rules judged by an isolation forest on rule statistics.
 
-Statistics are computed over every whole text.  The forest's trees are grown
-from a bounded sample of rows that pass the base rules; a row's path length over
-their random splits gives its anomaly score, and the threshold comes from
-labelled rows.
+Statistics are computed over every whole text, once, and written.  The random
+splits of a tree lie in the ranges of its own ``TREE_ROWS`` rows, drawn from all
+rows that pass the base rules, as the method has it.  What is learned is counted
+in whole: all rows that pass go down every tree, a leaf's path length follows
+from how many of them end there, and the threshold comes from all labelled rows.
 
 Defined results: a null text has no words and fails the base rules; rows without
 a label do not take part in the calibration; without labelled rows of both kinds
-nothing is rejected beyond the base rules; repeated rows give repeated results;
+nothing is rejected beyond the base rules; repeated rows give repeated results
+and count once in the forest and the threshold;
 extra columns are ignored; rows with a null ``doc_id`` are judged like any other
 and have no label.
 """
@@ -19,15 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.llm.arrowutil import give_back
+from strandgraph.storage import Scratch
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-#: Trees, rows a tree is grown from, labelled rows the threshold is taken from at most.
-TREES, TREE_ROWS, LABELLED = 100, 256, 20_000
+#: Trees, rows whose ranges a tree's splits are drawn from.
+TREES, TREE_ROWS = 100, 256
 #: Share of good labelled rows that the threshold may reject.
 MAX_LOSS = 0.005
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -35,6 +38,8 @@ FEATURES = ["f_word_len", "f_symbols", "f_upper", "f_marks", "f_same_next", "f_s
 #: Rates are taken as if each text had so many more words of five ordinary letters, lest short texts look odd by chance.
 PRIOR = 100
 SEED = 11
+#: Parts into which a range of scores is divided at a time to find an order statistic.
+PARTS = 4096
 
 _table = np.zeros(256, np.uint8)
 _table[list(SYMBOLS)] = 1
@@ -92,30 +97,38 @@ def statistics(text: bytes) -> tuple:
     return (n, chars, symbols, dup, rep, *rates)
 
 
-def measure(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs(key, text)`` -> ``key`` (a long), the counts, the features and ``base_failed`` per row."""
-    schema = ", ".join([f"{key} long", *(f"{c} long" for c in COUNTS), *(f"{c} double" for c in FEATURES)])
+def measure(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``doc_id`` (a long), ``row_hash`` of id and text, the counts, the features and ``base_failed`` per row."""
+    schema = ", ".join(["doc_id long", "row_hash long", *(f"{c} long" for c in COUNTS), *(f"{c} double" for c in FEATURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [statistics(t.as_py() or b"") for t in b.column(1)]
+            got = [statistics(t.as_py() or b"") for t in b.column(2)]
             cols = [pa.array([g[i] for g in got], pa.int64() if i < len(COUNTS) else pa.float64()) for i in range(len(COUNTS) + len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], [key, *COUNTS, *FEATURES])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "row_hash", *COUNTS, *FEATURES])
         give_back()
 
-    src = docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").cast("binary"))
+    key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    src = docs.select(key.alias("doc_id"), F.xxhash64(F.lit(SEED), key, text).alias("row_hash"), text.cast("binary").alias("text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return src.mapInArrow(run, schema).withColumn("base_failed", failed)
 
 
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """The features of a batch, a row each."""
+    t = pa.Table.from_batches([batch])
+    return np.column_stack([t.column(c).to_numpy() for c in FEATURES]).astype(np.float64)
+
+
 class IsolationForest:
-    """Random axis-parallel splits; short paths mark anomalies."""
+    """Random axis-parallel splits of each tree's own draw of rows, and path lengths from the rows counted in its leaves; short paths mark anomalies."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, size: int = TREE_ROWS, seed: int = SEED):
+    def __init__(self, draws: list[np.ndarray], seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.size = min(size, len(rows))
-        self.depth = max(1, int(np.ceil(np.log2(max(self.size, 2)))))
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=False)], rng) for _ in range(trees)] if self.size > 1 else []
+        most = max(map(len, draws), default=0)
+        self.size = 0
+        self.depth = max(1, int(np.ceil(np.log2(max(most, 2)))))
+        self.trees = [self._grow(rows, rng) for rows in draws if len(rows) > 1]
 
     @staticmethod
     def _mean_path(n: int) -> float:
@@ -127,7 +140,7 @@ class IsolationForest:
 
         def node(x: np.ndarray, depth: int) -> int:
             k = len(feature)
-            for held, v in ((feature, -1), (cut, 0.0), (left, k), (right, k), (path, depth + self._mean_path(len(x)))):
+            for held, v in ((feature, -1), (cut, 0.0), (left, k), (right, k), (path, float(depth))):
                 held.append(v)
             spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) > 1 and depth < self.depth else []
             if len(spread):
@@ -140,74 +153,155 @@ class IsolationForest:
         node(rows, 0)
         return np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(path)
 
-    def score(self, rows: np.ndarray) -> np.ndarray:
-        """Anomaly scores in 0 .. 1; 0 throughout where no tree could be grown."""
-        if not self.trees:
-            return np.zeros(len(rows))
-        total = np.zeros(len(rows))
+    def leaves(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """For each tree, the node at which each row ends."""
         every = np.arange(len(rows))
-        for feature, cut, left, right, path in self.trees:
+        for feature, cut, left, right, _ in self.trees:
             at = np.zeros(len(rows), np.int64)
             for _ in range(self.depth):
                 f = feature[at]
                 at = np.where(f < 0, at, np.where(rows[every, np.maximum(f, 0)] < cut[at], left[at], right[at]))
-            total += path[at]
+            yield at
+
+    def weigh(self, counts: list[np.ndarray], size: int) -> None:
+        """Add to the path lengths what ``counts`` of ``size`` rows, per tree and node, make them go on below their leaves."""
+        self.size = size
+        for tree, n in zip(self.trees, counts, strict=True):
+            tree[4][:] += [self._mean_path(int(k)) for k in n]
+
+    def score(self, rows: np.ndarray) -> np.ndarray:
+        """Anomaly scores in 0 .. 1; 0 throughout where no tree could be grown."""
+        if not self.trees:
+            return np.zeros(len(rows))
+        total = np.zeros(len(rows))
+        for tree, at in zip(self.trees, self.leaves(rows), strict=True):
+            total += tree[4][at]
         return 2.0 ** (-total / len(self.trees) / self._mean_path(self.size))
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, max_loss: float = MAX_LOSS) -> float:
-    """The threshold above which most bad rows and at most ``max_loss`` of the good ones lie (infinite if there is none)."""
-    if not good.any() or good.all():
+def _ranks(keys: np.ndarray, tree: int) -> np.ndarray:
+    """A number below 2^63 for each key, in another random order for each tree (SplitMix64)."""
+    x = keys.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (tree + 1) % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(1)
+
+
+def _draw(pool: DataFrame, n: int) -> list[np.ndarray]:
+    """For each tree the ``TREE_ROWS`` of all ``n`` rows of ``pool`` that come first in its order.
+
+    Tasks pass on only ranks below a bound that twice as many rows are expected to
+    keep, so the driver gets about ``2 * TREES * TREE_ROWS`` rows of numbers.
+    """
+    bound = np.uint64(2**63 * min(1.0, 2 * TREE_ROWS / max(n, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ranks = [_ranks(b.column(0).to_numpy(), t) for t in range(TREES)]
+            at = [np.flatnonzero(r < bound) for r in ranks]
+            tree = np.repeat(np.arange(TREES, dtype=np.int32), [len(a) for a in at])
+            rank = np.concatenate([r[a] for r, a in zip(ranks, at, strict=True)]).astype(np.int64)
+            rows = _matrix(b)[np.concatenate(at)]
+            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(rank), *map(pa.array, rows.T)], ["tree", "rank", *FEATURES])
+
+    types = ", ".join(f"{c} double" for c in FEATURES)
+    got = pool.select("row_hash", *FEATURES).mapInArrow(run, f"tree int, rank long, {types}").toArrow()
+    tree, rank, rows = got.column("tree").to_numpy(), got.column("rank").to_numpy(), np.column_stack([got.column(c).to_numpy() for c in FEATURES])
+    order = np.lexsort([*rows.T, rank, tree])
+    ends = np.searchsorted(tree[order], np.arange(TREES + 1))
+    return [rows[order[a : min(b, a + TREE_ROWS)]] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _counts(pool: DataFrame, forest: IsolationForest) -> list[np.ndarray]:
+    """How many rows of ``pool`` end at each node of each tree."""
+    nodes = [len(t[0]) for t in forest.trees]
+    starts = np.concatenate(([0], np.cumsum(nodes))).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(starts[-1], np.int64)
+        for b in batches:
+            for start, at in zip(starts, forest.leaves(_matrix(b)), strict=False):
+                held += np.bincount(start + at, minlength=len(held))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["node", "n"])
+
+    got = pool.select(*FEATURES).mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(starts[-1], np.int64)
+    total[got.column("node").to_numpy()] = got.column("n").to_numpy()
+    return np.split(total, starts[1:-1])
+
+
+def _kth(scores: DataFrame, k: int, low: float, high: float) -> float:
+    """The ``k``-th smallest ``score``, from 0, of values from ``low`` to ``high``: the part that holds it is divided until its values are one."""
+    while low < high:
+        part = F.floor((F.col("score") - low) / (high - low) * PARTS).alias("part")
+        parts = scores.filter(F.col("score").between(low, high)).groupBy(part).agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+        for r in sorted(parts.collect(), key=lambda r: r["part"]):
+            if k < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            k -= r["n"]
+    return low
+
+
+def calibrate(scored: DataFrame, max_loss: float = MAX_LOSS) -> float:
+    """``scored(good, score)`` -> the threshold above which most bad rows and at most ``max_loss`` of the good ones lie (infinite if there is none)."""
+    kinds = {r["good"]: r for r in scored.groupBy("good").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).collect()}
+    if len(kinds) < 2:
         return float("inf")
-    ok = np.sort(score[good])
-    floor = ok[min(len(ok) - 1, int(np.ceil((1 - max_loss) * len(ok))))]
-    cuts = np.unique(score[~good])
-    cuts = cuts[cuts > floor]
-    if not len(cuts):
+    n = kinds[True]["n"]
+    floor = _kth(scored.filter("good"), min(n - 1, math.ceil((1 - max_loss) * n)), kinds[True]["low"], kinds[True]["high"])
+    first = scored.filter(~F.col("good") & (F.col("score") > floor)).agg(F.min("score")).first()[0]
+    if first is None:
         return float("inf")
-    return float((floor + cuts[0]) / 2)  # as many bad rows as the loss allows, half way to the first
+    return (floor + first) / 2  # as many bad rows as the loss allows, half way to the first
 
 
-def _share(df: DataFrame, rows: int) -> Column:
-    """Whether a row is in a fixed sample of about ``rows`` rows, by the hash of its id and text."""
-    n = max(df.count(), 1)
-    return F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, rows / n))
+def _fit(measured: DataFrame, labels: DataFrame, scratch: Scratch, max_loss: float) -> tuple[IsolationForest, float]:
+    """``fit`` on what ``measure`` gave."""
+    pool = scratch.write(measured.filter("not base_failed").select("doc_id", "row_hash", *FEATURES).distinct(), compact=True)
+    n = pool.count()
+    forest = IsolationForest(_draw(pool, n))
+    if forest.trees:
+        forest.weigh(_counts(pool, forest), n)
+    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality").cast("int") > 0).alias("good"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forest.score(_matrix(b)))], ["good", "score"])
+
+    scored = pool.join(known, "doc_id").select("good", *FEATURES).mapInArrow(run, "good boolean, score double")
+    return forest, calibrate(scratch.write(scored, compact=True), max_loss)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS) -> tuple[IsolationForest, float]:
-    """A forest grown from a sample of ``docs`` and the score that calibration allows.
+    """A forest that has counted all rows of ``docs`` that pass the base rules and the score that calibration on all labelled ones allows.
 
-    The samples are bounded (about ``TREES * TREE_ROWS`` different rows by hash,
-    and ``LABELLED`` rows); only their features reach the driver.
+    Only the trees' draws, counts of leaves and of ranges of scores reach the driver.
     """
-    src = docs.select("doc_id", "text")
-    passed = measure(src.filter(_share(src, TREES * TREE_ROWS)).distinct()).filter("not base_failed")
-    rows = passed.select(*FEATURES).toPandas().to_numpy(np.float64)
-    forest = IsolationForest(rows[np.lexsort(rows.T)])
-    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    picked = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))  # bounded: LABELLED rows of 12 bytes
-    texts = src.withColumn("doc_id", F.col("doc_id").cast("long")).join(picked, "doc_id")
-    got = measure(texts.select("quality", "text"), "quality")
-    got = got.filter("not base_failed").select((F.col("quality") > 0).alias("good"), *FEATURES).toPandas()
-    good = got["good"].to_numpy(bool)
-    return forest, calibrate(forest.score(got[FEATURES].to_numpy(np.float64)), good, max_loss)
+    scratch = Scratch(docs.sparkSession)
+    got = _fit(scratch.write(measure(docs)), labels, scratch, max_loss)
+    scratch.keep_only()
+    return got
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     """``docs(doc_id, text)``, ``labels(doc_id, quality)`` -> ``doc_id``, counts, features, ``base_failed``, ``score`` and ``kept`` per row."""
-    forest, limit = fit(docs, labels, max_loss)
-    measured = measure(docs)
-    cols = [f.name for f in measured.schema]
+    scratch = Scratch(docs.sparkSession)
+    measured = scratch.write(measure(docs))
+    forest, limit = _fit(measured, labels, scratch, max_loss)
+    scratch.keep_only(measured)
+    rows = measured.drop("row_hash")
+    cols = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = pa.Table.from_batches([b])
-            s = forest.score(np.column_stack([t.column(c).to_numpy() for c in FEATURES]).astype(np.float64))
-            kept = ~t.column("base_failed").to_numpy() & (s <= limit)
+            s = forest.score(_matrix(b))
+            kept = ~pa.Table.from_batches([b]).column("base_failed").to_numpy() & (s <= limit)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array(kept)], [*cols, "score", "kept"])
 
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in measured.schema)
-    return measured.mapInArrow(run, f"{types}, score double, kept boolean")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{types}, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:

@@ -67,6 +67,40 @@ def test_rules_verdict_is_a_plain_walk(spark):
         assert r["score"] == pytest.approx(score) and r["kept"] == (not failed and score <= limit)
 
 
+def test_rules_are_fitted_on_all_rows(spark):
+    said = F.expr("array_join(transform(sequence(1, 24), k -> if(pmod(hash(id, k), 40) < pmod(id, 40), concat('w', pmod(hash(k, id), 50), '!'), concat('word', k))), ' ')")
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), said.alias("text"))
+    labels = docs.select("doc_id", F.expr("int(pmod(doc_id, 40) < 38)").alias("quality"))
+    forest, limit = rules.fit(docs, labels)
+    found = {r["doc_id"]: rules.statistics(r["text"].encode()) for r in docs.collect()}
+    kept = [i for i, f in found.items() if f[0] >= 20 and 100 * f[4] <= 30 * f[0]]
+    rows = np.array([found[i][5:] for i in kept])
+    assert forest.size == len(kept) > 22_000
+    for feature, cut, left, right, length in forest.trees[:5]:
+        inside, depth = {0: np.arange(len(rows))}, {0: 0}
+        for at in range(len(feature)):  # a node's children come after it
+            if feature[at] < 0:
+                assert length[at] == pytest.approx(depth[at] + forest._mean_path(len(inside[at])))
+                continue
+            here = rows[inside[at], feature[at]] < cut[at]
+            inside[left[at]], inside[right[at]] = inside[at][here], inside[at][~here]
+            depth[left[at]] = depth[right[at]] = depth[at] + 1
+    score, good = forest.score(rows), np.array([i % 40 < 38 for i in kept])
+    best = np.sort(score[good])
+    floor = best[min(len(best) - 1, int(np.ceil((1 - rules.MAX_LOSS) * len(best))))]
+    assert limit == pytest.approx((floor + score[~good & (score > floor)].min()) / 2, abs=1e-12)
+    twice = rules.fit(docs.union(docs), labels)
+    assert twice[1] == limit and np.array_equal(twice[0].score(rows), score)
+
+
+def test_order_statistics_are_exact(spark):
+    rng = np.random.default_rng(5)
+    values = [*rng.random(500), *[0.25] * 300, *np.nextafter(0.25, [0, 1]), 0.0, 1e-300, 1.0]
+    scores = spark.createDataFrame([(float(v),) for v in values], "score double").cache()
+    for k in (0, 1, 2, 100, 300, 500, len(values) - 1):
+        assert rules._kth(scores, k, 0.0, 1.0) == sorted(values)[k]
+
+
 def test_rules_take_any_id(spark):
     rows = [(2**62 + 5 + i, f"some words that number {i} says " * 6) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
