@@ -27,8 +27,8 @@ def clean_text(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Tokens, approximated by white-space separated words (no vocabulary is needed)."""
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+")))
+    """Tokens, approximated by white-space separated words (no vocabulary is needed); 0 without any, null for null."""
+    return F.when(F.trim(text) == "", 0).when(text.isNotNull(), F.size(F.split(F.trim(text), r"\s+")))
 
 
 def clean_reply(reply: Column) -> Column:
