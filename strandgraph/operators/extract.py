@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.functions.text import short_id
+from strandgraph.storage import Scratch
 
 #: Levels of node labels; other labels are level 2.
 LEVELS = {"attribute": 1, "entity": 2, "keyword": 3, "subGraph": 4, "shared_subGraph": 4, "expert_subGraph": 4}
@@ -78,8 +79,8 @@ def merge_by_name(nodes: DataFrame) -> DataFrame:
 
 def number(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
     """Adds 0, 1, ... within each ``key`` by ``order`` without gathering a key in one task."""
-    placed = df.repartitionByRange(key, order).sortWithinPartitions(key, order)
-    placed = placed.withColumn("__p", F.spark_partition_id())
+    # written once: where ranges are cut comes from a sample, and a second evaluation may cut elsewhere
+    placed = Scratch(df.sparkSession).write(df.repartitionByRange(key, order).withColumn("__p", F.spark_partition_id()))
     within = F.row_number().over(Window.partitionBy("__p", key).orderBy(order)) - 1
     counts = placed.groupBy("__p", key).count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy(key).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

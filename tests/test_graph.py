@@ -123,3 +123,19 @@ def test_number_over_many_partitions(spark):
     for k in range(3):
         rows = sorted((r["o"], r["i"]) for r in got if r["k"] == k)
         assert [i for _, i in rows] == list(range(len(rows)))
+
+
+def test_number_where_the_plan_is_evaluated_twice(spark):
+    df = spark.range(40_000).select((F.col("id") % 3).alias("k"), (F.hash("id").cast("long") * 100_000 + F.col("id")).alias("o")).repartition(7)
+    held = ("spark.sql.exchange.reuse", "spark.sql.adaptive.coalescePartitions.enabled")
+    for name in held:
+        spark.conf.set(name, "false")
+    try:
+        got = extract.number(df, "k", "o", "i").collect()
+    finally:
+        for name in held:
+            spark.conf.unset(name)
+    for k in range(3):
+        rows = sorted((r["o"], r["i"]) for r in got if r["k"] == k)
+        assert len(rows) == (40_002 - k) // 3
+        assert [i for _, i in rows] == list(range(len(rows)))
