@@ -76,6 +76,34 @@ def test_betweenness_brute_force(spark):
     assert [got[f"n{i:02}"] for i in range(n)] == pytest.approx(want)
 
 
+def _stars(spark, hubs_=30, leaves=40):
+    """Hubs linked with each other, each with leaves; nodes, edges and a hub's betweenness."""
+    pairs = [(f"h{a:02}", f"h{b:02}") for a in range(hubs_) for b in range(a)] + [(f"h{a:02}", f"h{a:02}_{i}") for a in range(hubs_) for i in range(leaves)]
+    n = hubs_ * (leaves + 1)
+    return _ids(spark, sorted({x for p in pairs for x in p})), _edges(spark, pairs), (2 * leaves * (n - 1 - leaves) + leaves * (leaves - 1)) / ((n - 1) * (n - 2))
+
+
+def test_betweenness_counts_paths_from_all_nodes(spark):
+    ids, edges, want = _stars(spark)
+    got = {r["node_id"]: r["betweenness"] for r in graph.betweenness(ids, edges).collect()}
+    assert got == {x: pytest.approx(want if "_" not in x else 0.0) for x in got}
+    assert len(got) == 1230
+
+
+def test_betweenness_refuses_no_size(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_ADJACENCY", 0, raising=False)
+    monkeypatch.setattr(graph, "SLAB", 3, raising=False)
+    ids, edges, want = _stars(spark, 3, 2)
+    got = {r["node_id"]: r["betweenness"] for r in graph.betweenness(ids, edges).collect()}
+    assert got == {x: pytest.approx(want if "_" not in x else 0.0) for x in got}
+
+
+def test_mixed_hub_by_exact_betweenness(spark):
+    ids, edges, want = _stars(spark)
+    got = {r["node_id"]: r["centrality"] for r in hubs.structural_centrality(ids, edges).collect()}
+    assert got == {x: pytest.approx(0.8 * (69 if "_" not in x else 1) / 1229 + 0.2 * (want if "_" not in x else 0), abs=1e-6) for x in got}
+
+
 def test_reach_is_three_hops(spark):
     e = _edges(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("c", "a")])
     got = {r["node_id"]: r["depth"] for r in graph.reach(e, _ids(spark, "a")).collect()}
