@@ -181,7 +181,6 @@ def test_keyword_links(spark):
 
 
 def test_triples_are_searched_without_vectors_of_their_own(spark):
-
     g, scratch = Fixture(spark, "/root/testdata/sf0.001"), Scratch(spark)
     edges, groups, q = scratch.write(g.edges), scratch.write(g.groups), g.queries
     act = q.select("query_id").crossJoin(groups.filter("kind = 'shared'").select("subgraph_id").distinct())
