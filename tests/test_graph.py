@@ -167,3 +167,67 @@ def test_number_where_the_plan_is_evaluated_twice(spark):
         rows = sorted((r["o"], r["i"]) for r in got if r["k"] == k)
         assert len(rows) == (40_002 - k) // 3
         assert [i for _, i in rows] == list(range(len(rows)))
+
+
+def _path_counter(pairs, n):
+    half = np.array(sorted({(a, b) for p in pairs if p[0] != p[1] for a, b in (p, p[::-1])})).reshape(-1, 2)
+    return graph._Paths(half[:, 1].astype(np.int32), np.concatenate(([0], np.cumsum(np.bincount(half[:, 0], minlength=n)))))
+
+
+class _Read(np.ndarray):
+    """Counts the entries that are read in slices."""
+
+    seen = 0
+
+    def __getitem__(self, key):
+        if isinstance(key, slice):
+            _Read.seen += key.stop - key.start
+        return np.asarray(self)[key]
+
+
+def test_paths_are_counted_without_reading_all_edges_at_each_level():
+    # a line of 400 nodes and a clique of 60 that is one step from its end
+    pairs = [(i, i + 1) for i in range(400)] + [(a, b) for a in range(400, 460) for b in range(400, a)]
+    paths = _path_counter(pairs, 460)
+    paths.dst, _Read.seen = paths.dst.view(_Read), 0
+    paths.add(0)
+    assert _Read.seen <= 3 * len(paths.dst)
+    # each inner node of the line is on all paths to what lies behind it
+    assert paths.total[1:400].tolist() == pytest.approx([459.0 - i for i in range(1, 400)])
+
+
+@pytest.mark.parametrize("slab", [3, 1 << 17])
+def test_paths_from_either_side_of_a_level(monkeypatch, slab):
+    monkeypatch.setattr(graph, "SLAB", slab)
+    rng = np.random.default_rng(4)
+    for n, m in ((60, 50), (60, 200), (60, 1500)):
+        pairs = [tuple(p) for p in rng.integers(0, n, (m, 2)).tolist()]
+        adj = np.zeros((n, n), bool)
+        for a, b in pairs:
+            adj[a, b] = adj[b, a] = a != b or adj[a, b]
+        np.fill_diagonal(adj, False)
+        dist, count = np.full((n, n), np.inf), np.eye(n)
+        np.fill_diagonal(dist, 0)
+        walks = np.eye(n)
+        for d in range(1, n):
+            walks = np.where(dist == d - 1, count, 0) @ adj
+            fresh = np.isinf(dist) & (walks > 0)
+            dist[fresh], count[fresh] = d, walks[fresh]
+        want = np.zeros(n)
+        for v in range(n):
+            on = (dist[:, v, None] + dist[None, v, :] == dist) & np.isfinite(dist)
+            on[v], on[:, v] = False, False
+            np.fill_diagonal(on, False)
+            want[v] = np.divide(count[:, v, None] * count[None, v, :], count, out=np.zeros((n, n)), where=on).sum()
+        paths = _path_counter(pairs, n)
+        for source in range(n):
+            paths.add(source)
+        assert paths.total == pytest.approx(want)
+
+
+def test_mixed_hub_counts_paths_once(spark, monkeypatch):
+    ids, edges, _ = _stars(spark, 4, 5)
+    want = {r["node_id"] for r in hubs.over_percentile(hubs.structural_centrality(ids, edges)).collect()}
+    hub = hubs.structural_hub(ids, edges)
+    assert "MapInArrow" not in hub._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["node_id"] for r in hub.collect()} == want == {"h00", "h01", "h02", "h03"} | want
