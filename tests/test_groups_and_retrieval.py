@@ -247,3 +247,25 @@ def test_successors_of_hits_are_not_sorted(spark):
     want = graph.successors(g.edges).join(g.hits.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
     got = g.near.filter("relation <> 'has_attribute'")
     assert sorted(map(tuple, got.select("src", "dst", "relation").collect())) == sorted(map(tuple, want.select("src", "dst", "relation").collect()))
+
+
+def test_dual_path_meets_as_bits(spark, monkeypatch):
+    from strandgraph.operators import content
+
+    rng = np.random.default_rng(5)
+    vec = {f"n{i:02}": rng.normal(size=3).tolist() for i in range(30)} | {"n01": None, "n02": [0.0] * 3, "n03": [1.0, 2.0], "n04": [1.0, None, 0.0]}
+    nodes = spark.createDataFrame(list(vec.items()), "node_id string, embedding array<double>")
+    queries = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(70)], "query_id long, qvec array<double>")
+    pairs = spark.createDataFrame([(f"n{i:02}", f"n{j:02}", "r") for i in range(30) for j in (i, (i * 7 + 3) % 32, (i * 5) % 30)], "src string, dst string, relation string")
+    groups = spark.createDataFrame([(g, f"n{i:02}") for g, s in (("A", 4), ("B", 5)) for i in range(0, 30, s) if i != 4], "subgraph_id string, node_id string")
+    hits = spark.createDataFrame([(q, g) for q in range(70) for g in ("A", "B", "C") if q % 3 and (g == "A" or q % 2)], "query_id long, id string")
+
+    def plain(df):
+        return sorted(map(repr, (tuple(r) for r in df.select("query_id", "node_id", "paths", "score").collect())))
+
+    df = content.dual_path(queries, pairs.union(pairs), nodes, groups, hits)
+    assert "Aggregate [query_id" not in df._jdf.queryExecution().optimizedPlan().toString()  # no row for each query, pair and task is gathered
+    got = plain(df)
+    assert content.dual_path(queries.limit(0), pairs, nodes, groups, hits).count() == 0
+    monkeypatch.setattr(retrieval, "HELD", 0)
+    assert got == plain(content.dual_path(queries, pairs, nodes, groups, hits)) and any("group+triple" in x for x in got)
