@@ -231,3 +231,28 @@ def test_mixed_hub_counts_paths_once(spark, monkeypatch):
     hub = hubs.structural_hub(ids, edges)
     assert "MapInArrow" not in hub._jdf.queryExecution().optimizedPlan().toString()
     assert {r["node_id"] for r in hub.collect()} == want == {"h00", "h01", "h02", "h03"} | want
+
+
+@pytest.mark.parametrize("short", [1 << 18, 0])
+def test_neighbours_in_two_bytes(spark, short, monkeypatch):
+    monkeypatch.setattr(graph, "SHORT", short)
+    rng = np.random.default_rng(2)
+    n = (1 << 16) + 40
+    u = rng.integers(0, n, 300)
+    ends = [(int(a), int(b)) for a, b in zip(u, (u * 7 + 65_530) % n)]
+    start = np.zeros(2 * n + 1, np.int64)
+    rows = sorted({(a, b) for x, y in ends if x != y for a, b in ((x, y), (y, x))})
+    for a, b in rows:
+        start[2 * a + (b >> 16) + 1] += 1
+    start = np.cumsum(start)
+    plain = graph._Paths(np.array([b for _, b in rows], np.int32), start[::2])
+    split = graph._Paths(np.array([b & 65535 for _, b in rows], np.uint16), start, 2)
+    for source in sorted({a for a, _ in rows}):
+        plain.add(source)
+        split.add(source)
+    assert (plain.total == split.total).all() and plain.total.any()
+
+    nodes = spark.range(n).select(F.concat(F.lit("n"), "id").alias("node_id"))
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in ends], "src string, dst string")
+    got = {r["node_id"]: r["betweenness"] * (n - 1) * (n - 2) for r in graph.betweenness(nodes, edges).filter("betweenness > 0").collect()}
+    assert got == pytest.approx({f"n{i}": plain.total[i] for i in np.flatnonzero(plain.total)})
